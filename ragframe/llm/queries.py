@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, warc
+from . import exact_dedup, secrets, warc
 from .common import table
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -14,7 +18,7 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc}
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, warc
+from . import exact_dedup, langid, quality, secrets, warc
 from .common import table
 
 
@@ -18,7 +18,15 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc}
+def op5_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op5_language_id": op5_language_id, "op9_quality": op9_quality}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, quality, secrets, warc
+from . import exact_dedup, html_text, langid, packing, quality, secrets, warc
 from .common import table
 
 
@@ -26,7 +26,15 @@ def op9_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op5_language_id": op5_language_id, "op9_quality": op9_quality}
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op5_language_id": op5_language_id, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),

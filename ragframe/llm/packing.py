@@ -3,7 +3,7 @@
 Documents become pieces of at most LENGTH tokens.  The histogram of piece lengths (at most LENGTH
 numbers, whatever the input's size) is all that the driver sees.  Patterns of one to three lengths that
 fill a sequence exactly are fitted to it by non-negative least squares, an active-set method over all
-such patterns; repeat counts are rounded down, and what is left is packed by best fit, longest first,
+such patterns; repeat counts are rounded (never above what there is), and what is left is packed by best fit, longest first,
 on the histogram.  The plan is a short list of (pattern, repeats); a piece finds its place from its rank
 among the pieces of its length, ranks being taken over salted keys so that no length is one task's work.
 
@@ -29,7 +29,7 @@ from .common import arrow_schema, partitions, saved, small_batches
 LENGTH = 1024
 END_ID = 2
 #: Active-set rounds and the patterns that a round may add.
-ROUNDS, ADDED = 60, 48
+ROUNDS, ADDED = 12, 160
 
 
 def default_tokenizer() -> str:
@@ -99,51 +99,48 @@ def patterns(length: int, histogram: np.ndarray) -> np.ndarray:
 
 
 def fit(found: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS, added: int = ADDED) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - histogram|^2, A the patterns' lengths: Lawson and Hanson's
-    active set, with up to `added` patterns that share no length entering at once."""
-    x = np.zeros(len(found))
-    weight = np.where(found > 0, 1.0, 0.0)
+    """Repeat counts x >= 0 that minimise |W (A x - histogram)|^2, A the patterns' lengths.
+
+    Lawson and Hanson's active set in blocks: up to `added` patterns that share no length enter at once,
+    and all that turn negative leave.  W weighs an error by the tokens it is about, since short pieces
+    that are left over are easily packed and long ones aren't.
+    """
+    x, size = np.zeros(len(found)), len(histogram)
+    one = (found > 0).astype(float)
+    weight = (np.arange(size) / size) ** 6
     target = histogram.astype(float)
 
-    def product(v: np.ndarray) -> np.ndarray:
-        return np.bincount(found.ravel(), (weight * v[:, None]).ravel(), len(target)) if len(v) else np.zeros(len(target))
+    def product(idx: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bincount(found[idx].ravel(), (one[idx] * v[:, None]).ravel(), size)
 
-    active = np.zeros(len(found), bool)
+    idx = np.zeros(0, np.int64)
     for _ in range(rounds):
-        slope = (weight * (target - product(x))[found]).sum(1)
-        slope[active] = 0
-        taken, new = set(), []
+        left = (target - product(idx, x[idx])) * weight
+        slope = (one * left[found]).sum(1)
+        slope[idx] = 0
+        taken, new = np.zeros(size, bool), []
         for k in np.argsort(-slope, kind="stable")[: 40 * added]:
-            own = set(found[k].tolist()) - {0}
             if slope[k] <= 1e-6 or len(new) >= added:
                 break
-            if not own & taken:
-                taken |= own
+            own = found[k][found[k] > 0]
+            if not taken[own].any():
+                taken[own] = True
                 new.append(k)
         if not new:
             break
-        active[new] = True
+        idx = np.concatenate((idx, new))
         while True:
-            idx = np.flatnonzero(active)
-            matrix = np.zeros((len(target), len(idx)))
-            np.add.at(matrix, (found[idx].ravel(), np.repeat(np.arange(len(idx)), found.shape[1])), weight[idx].ravel())
-            gram = matrix.T @ matrix
-            gram[np.diag_indices_from(gram)] += 1e-6
-            best = np.linalg.solve(gram, matrix.T @ target)
-            low = best <= 1e-9
-            if not low.any():
-                x[:] = 0
-                x[idx] = best
+            matrix = np.zeros((size, len(idx)))
+            np.add.at(matrix, (found[idx].ravel(), np.repeat(np.arange(len(idx)), found.shape[1])), one[idx].ravel())
+            scaled = matrix * weight[:, None]
+            gram = scaled.T @ matrix
+            gram[np.diag_indices_from(gram)] += 1e-9
+            best = np.linalg.solve(gram, scaled.T @ target)
+            if (best > 0).all():
                 break
-            here = x[idx]
-            step = min(1.0, float(np.min(here[low] / np.maximum(here[low] - best[low], 1e-12))))
-            here = here + step * (best - here)
-            gone = low & (here <= 1e-9)
-            if not gone.any():
-                gone = low & (here == here[low].min())
-            x[:] = 0
-            x[idx] = np.where(gone, 0, np.maximum(here, 0))
-            active[idx[gone]] = False
+            idx = idx[best > 0]
+        x[:] = 0
+        x[idx] = best
     return x
 
 
@@ -179,7 +176,7 @@ def plan(histogram: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, .
     """(lengths, repeats) for all pieces that the histogram counts (index: a length)."""
     found = patterns(length, histogram)
     left, out = histogram.astype(np.int64).copy(), []
-    repeats = np.floor(fit(found, histogram) + 1e-6).astype(np.int64) if len(found) else []
+    repeats = np.floor(fit(found, histogram) + 0.5).astype(np.int64) if len(found) else []
     for k in np.argsort(-np.asarray(repeats), kind="stable"):
         own = [int(v) for v in found[k] if v]
         n = min([int(repeats[k]), *(int(left[v]) // own.count(v) for v in own)])

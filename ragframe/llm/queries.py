@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, langid, packing, quality, secrets, warc
+from . import exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -34,7 +34,11 @@ def op8_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op5_language_id": op5_language_id, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality}
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.report(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op5_language_id": op5_language_id, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_near_dedup": op10_near_dedup}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
@@ -53,4 +57,18 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM b JOIN f USING (payload_digest)
 """
 
-ORACLE = {"op2_exact_dedup": _OP2, "op3_warc": _OP3}
+_OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(sh) AS x FROM s)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+b AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.reach)
+SELECT n.doc_id, n.n_shingles, min(r.reach) AS component_id, n.doc_id = min(r.reach) AS kept
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+ORACLE = {"op10_near_dedup": _OP10, "op2_exact_dedup": _OP2, "op3_warc": _OP3}

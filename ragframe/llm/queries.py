@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, warc
+from . import ann, exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, sentencepieces, warc
 from .common import table
 
 
@@ -42,7 +42,11 @@ def op4_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op4_ann": op4_ann, "op5_language_id": op5_language_id, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_near_dedup": op10_near_dedup}
+def op6_sentencepiece(spark, sf_dir):
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op4_ann": op4_ann, "op5_language_id": op5_language_id, "op6_sentencepiece": op6_sentencepiece, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_near_dedup": op10_near_dedup}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),

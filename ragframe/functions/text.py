@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 
@@ -20,7 +21,7 @@ def java(pattern: str, flags: str = "iu") -> str:
     return f"(?U{flags})" + pattern.replace("[^\\S\\n]", "[\\s&&[^\\n]]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """H1: canonical composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -224,7 +225,7 @@ def _trimmed(text: str) -> str:
     return body
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_answer(text: pd.Series) -> pd.Series:
     """H9: an answer without reasoning before it and phrases after it; abstentions become the fixed phrase.
 

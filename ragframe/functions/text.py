@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -165,20 +165,30 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit("-")).otherwise(F.concat(F.bround(F.lit(100.0) * part / whole, 0).cast("int").cast("string"), F.lit("%")))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def keyed_lines(text: Column, f) -> Column:
+    """f of struct<lines, keys>: the lines of a text, and without white space at their ends."""
+    return let(F.split(text, "\n", -1), lambda lines: let(F.struct(lines.alias("lines"), F.transform(lines, stripped).alias("keys")), f))
+
+
+def repeats_before(x: Column, i: Column) -> Column:
+    """Whether line i of `keyed_lines` is that before it again; blank lines never are."""
+    return (i > 0) & (F.get(x.keys, i) == F.get(x.keys, i - 1)) & (F.length(F.get(x.keys, i)) > 0)
+
+
 def collapse_repeats(text: Column, keep_tables: bool = True) -> Column:
     """Consecutive equal lines, but for white space at their ends, become one; blank lines stay.
 
     keep_tables: lines that begin with "|" stay too and nothing is trimmed (the cleaner's version);
     otherwise lines lose trailing white space (the parser's).
     """
-    lines = F.split(text, "\n", -1)
-    keys = F.transform(lines, stripped)
-    same = lambda i: (i > 0) & (F.get(keys, i) == F.get(keys, i - 1)) & (F.length(F.get(keys, i)) > 0)
     if keep_tables:
-        kept = F.filter(lines, lambda line, i: ~(same(i) & ~F.startswith(F.get(keys, i), F.lit("|"))))
-    else:
-        kept = F.transform(F.filter(lines, lambda line, i: ~same(i)), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
-    return F.array_join(kept, "\n")
+        return keyed_lines(text, lambda x: F.array_join(F.filter(x.lines, lambda line, i: ~(repeats_before(x, i) & ~F.startswith(F.get(x.keys, i), F.lit("|")))), "\n"))
+    return keyed_lines(text, lambda x: F.array_join(F.transform(F.filter(x.lines, lambda line, i: ~repeats_before(x, i)), lambda line: F.regexp_replace(line, r"(?U)\s+$", "")), "\n"))
 
 
 def without_boilerplate(text: Column) -> Column:
@@ -187,9 +197,10 @@ def without_boilerplate(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~bad(line)), "\n")
 
 
-def clean(text: Column) -> Column:
-    """K1: the whole cleaning chain."""
-    return collapse_spaces(collapse_repeats(without_boilerplate(normalised(text))))
+def cleaned(docs: DataFrame, column: str = "text") -> DataFrame:
+    """K1: docs with the column through the whole cleaning chain; the normal form is a projection of its own."""
+    docs = docs.withColumn(column, normalised(F.col(column)))
+    return docs.withColumn(column, collapse_spaces(collapse_repeats(without_boilerplate(F.col(column)))))
 
 
 def markdown_table(rows: Column) -> Column:

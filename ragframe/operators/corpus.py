@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.functions import fixed
-from ragframe.functions.text import content_hash, java, matches, stripped
+from ragframe.functions.text import content_hash, java, keyed_lines, matches, repeats_before, stripped
 
 
 def is_form(text: Column) -> Column:
@@ -133,10 +133,8 @@ def extremes(docs: DataFrame, size: Column, order: str, n: int = 5, longest: boo
 
 def line_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Lines, consecutive repeats and their share, over all documents."""
-    lines = F.split(text, "\n", -1)
-    keys = F.transform(lines, stripped)
-    repeats = F.size(F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: (i < F.size(keys)) & (F.get(keys, i) == F.get(keys, i - 1)) & (F.length(F.get(keys, i)) > 0)))
-    sums = docs.select(F.size(lines).alias("n"), repeats.alias("r")).agg(F.sum("n").alias("lines"), F.sum("r").alias("repeats"))
+    repeats = keyed_lines(F.col(text), lambda x: F.size(F.filter(F.transform(x.lines, lambda line, i: repeats_before(x, i)), lambda again: again)))
+    sums = docs.select(F.size(F.split(text, "\n", -1)).alias("n"), repeats.alias("r")).agg(F.sum("n").alias("lines"), F.sum("r").alias("repeats"))
     return sums.withColumn("share", F.col("repeats") / F.greatest(F.col("lines"), F.lit(1)))
 
 

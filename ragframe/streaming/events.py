@@ -10,7 +10,8 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 def read_stream(spark: SparkSession, folder: str, schema: str = EVENTS, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
 def hourly(events: DataFrame, late: str | None = None) -> DataFrame:

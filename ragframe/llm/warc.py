@@ -183,9 +183,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     captures = assemble(read(spark, path, keep_payload=False))
-    small_batches(spark)
     page = F.expr("try_cast(nullif(regexp_extract(metadata.block, 'page-id: (-?[0-9]*)', 1), '') as bigint)")
     flat = saved(captures.select("capture", page.alias("page_id"), "record_type", F.col("response.refers_to").alias("target"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")), "flat")
+    small_batches(spark)  # `read` has files as rows, one in a batch
     first = flat.filter("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
     joined = flat.filter("record_type = 'revisit'").drop("payload_bytes").join(first, "target").select("page_id", F.col("first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return flat.filter("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from .common import arrow_schema, mix, small_batches
 
 SPACE = "▁"
+TEXTS = 500  # encoded at once
 #: Words that a worker remembers, at most; longer words than LONG are merged with a heap, each by itself.
-REMEMBERED, LONG = 200_000, 192
+REMEMBERED, LONG = 600_000, 192
 UNKNOWN_PENALTY = 10.0  # fixed by the format: an unknown character scores this much less than any piece
 
 
@@ -100,6 +101,9 @@ class Model:
         keys = np.array([_hash(self.pieces[i]) for i in usual], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usual, np.int64)[order]
+        self.known = np.zeros(1 << 20, bool)  # most substrings are no pieces: their 20 lowest bits tell
+        self.known[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.by_piece = {self.pieces[i]: i for i in usual}
         self.low = np.float32((self.scores[usual].min() if usual else 0) - np.float32(UNKNOWN_PENALTY))
         shared = {c for i in usual if len(self.pieces[i]) > 1 for c in self.pieces[i]}
         across = any(SPACE in p[1:] and p.strip(SPACE) and SPACE in p.lstrip(SPACE) for p in (self.pieces[i] for i in usual))
@@ -115,8 +119,12 @@ class Model:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        out = np.full(keys.shape, -1, np.int64)
+        may = self.known[(keys & np.uint64((1 << 20) - 1)).view(np.int64)]
+        some = keys[may]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[may] = np.where(self.keys[at] == some, self.ids[at], -1)
+        return out
 
     def words(self, text: str) -> list[str]:
         if self.squeeze:
@@ -165,64 +173,90 @@ def _between(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((sums[row, b] - sums[row, a]) * factor + (b - a).astype(np.uint64))
 
 
+def _span(sums: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hashes of the substring [a, b) of every word; sums: a column for each."""
+    factor = _powers()[1][a] if a <= 4096 else np.uint64(pow(pow(_BASE, -1, 1 << 64), a, 1 << 64))
+    return mix((sums[b] - sums[a]) * factor + np.uint64(b - a))
+
+
 def _hash(piece: str) -> np.uint64:
     codes = np.array([[ord(c) for c in piece]], np.uint32)
     return _between(_sums(codes), np.array([0]), np.array([len(piece)]))[0]
 
 
-def viterbi(m: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each row of code points its best path: (start, end, id), id -1 for an unknown character."""
+Ragged = tuple[np.ndarray, np.ndarray]  # the ids of all rows one after another, and how many each has
+
+
+def _spelled(m: Model, flat: np.ndarray, sizes: np.ndarray) -> Ragged:
+    """The same with unknown characters spelled; -2 - c stands for a character c."""
+    unknown = np.flatnonzero(flat < 0)
+    if not len(unknown):
+        return flat, sizes
+    spelled = {c: m.spell(chr(-2 - c)) for c in np.unique(flat[unknown]).tolist()}
+    count = np.ones(len(flat), np.int64)
+    count[unknown] = [len(spelled[c]) for c in flat[unknown].tolist()]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.repeat(flat, count)
+    at = np.cumsum(count) - count
+    for k in unknown.tolist():
+        out[at[k] : at[k] + count[k]] = spelled[int(flat[k])]
+    return out, np.bincount(row, weights=count, minlength=len(sizes)).astype(np.int64)
+
+
+def viterbi(m: Model, codes: np.ndarray) -> Ragged:
+    """The ids of each row's best path; codes: words of one length, a row of code points each."""
     n, size = codes.shape
-    sums = _sums(codes)
-    best = np.full((n, size + 1), -np.inf, np.float32)
-    best[:, 0] = 0
-    back, piece = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -1, np.int64)
+    sums = np.ascontiguousarray(_sums(codes).T)
+    best = np.full((size + 1, n), -np.inf, np.float32)
+    best[0] = 0
+    back, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int64)
     for end in range(1, size + 1):
         for start in range(max(0, end - m.longest), end):  # the longest first: it stays where sums tie
-            ids = m.find(_between(sums, np.full(n, start), np.full(n, end)))
-            score = np.where(ids >= 0, m.scores[ids], m.low if end - start == 1 else -np.inf).astype(np.float32)
-            total = best[:, start] + score
-            more = total > best[:, end]
-            best[more, end], back[more, end], piece[more, end] = total[more], start, ids[more]
-    out = []
-    for row in range(n):
-        path, end = [], size
-        while end:
-            start = int(back[row, end])
-            path.append((start, end, int(piece[row, end])))
-            end = start
-        out.append(path[::-1])
-    return out
-
-
-def merge(m: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each row its segmentation by merges, as `viterbi` returns it."""
+            ids = m.find(_span(sums, start, end))
+            if end - start > 1:
+                rows = np.flatnonzero(ids >= 0)
+                own, score = ids[rows], m.scores[ids[rows]]
+            else:
+                rows, own = np.arange(n), np.where(ids >= 0, ids, -2 - codes[:, start].astype(np.int64))
+                score = np.where(ids >= 0, m.scores[ids], m.low)
+            total = best[start, rows] + score
+            more = total > best[end, rows]
+            rows = rows[more]
+            best[end, rows], back[end, rows], piece[end, rows] = total[more], start, own[more]
+    at, row, steps, live = np.full(n, size), np.arange(n), [], []
+    while at.any():
+        live.append(at > 0)
+        steps.append(piece[at, row])
+        at = np.where(at > 0, back[at, row], 0)
+    live, steps = np.array(live[::-1]).reshape(-1, n).T, np.array(steps[::-1]).reshape(-1, n).T
+    return _spelled(m, steps[live], live.sum(1))
+
+
+def merge(m: Model, codes: np.ndarray) -> Ragged:
+    """The ids of each row's segmentation by merges."""
     n, size = codes.shape
     sums, rows = _sums(codes), np.arange(n)
     bounds = np.tile(np.arange(size + 1), (n, 1))
-    out: list = [None] * n
+    done_rows: list[np.ndarray] = []
+    done_ids: list[np.ndarray] = []
 
     def rank(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ids = m.find(_between(s, a, b))
         return np.where(ids >= 0, m.scores[ids], -np.inf).astype(np.float32)
 
     pairs = rank(sums, bounds[:, :-2], bounds[:, 2:]) if size > 1 else np.zeros((n, 0), np.float32)
-
-    def finish(done: np.ndarray) -> None:
-        a, b = bounds[done, :-1], bounds[done, 1:]
-        ids = m.find(_between(sums[done], a, b)) if len(a) else a
-        for row, x, y, i in zip(rows[done], a, b, ids, strict=True):
-            out[row] = list(zip(x.tolist(), y.tolist(), i.tolist(), strict=True))
-
-    while True:
+    while len(rows):
         best = pairs.max(1) if pairs.shape[1] else np.full(len(rows), -np.inf)
         done = best == -np.inf
         if done.any():
-            finish(done)
+            a, b = bounds[done, :-1], bounds[done, 1:]
+            ids = m.find(_between(sums[done], a, b))
+            done_rows.append(rows[done])
+            done_ids.append(np.where(ids >= 0, ids, -2 - codes[rows[done][:, None], a].astype(np.int64)))
             keep = ~done
             rows, bounds, pairs, sums = rows[keep], bounds[keep], pairs[keep], sums[keep]
-        if not len(rows):
-            return out
+            if not len(rows):
+                break
         at, row = pairs.argmax(1), np.arange(len(rows))
         keep = np.ones(bounds.shape, bool)
         keep[row, at + 1] = False
@@ -235,11 +269,18 @@ def merge(m: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
             if ok.any():
                 r, c = row[ok], side[ok]
                 pairs[r, c] = rank(sums[r], bounds[r, c], bounds[r, c + 2])
+    sizes = np.zeros(n, np.int64)
+    for own, ids in zip(done_rows, done_ids, strict=True):
+        sizes[own] = ids.shape[1]
+    first, flat = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.int64)
+    for own, ids in zip(done_rows, done_ids, strict=True):
+        flat[first[own][:, None] + np.arange(ids.shape[1])] = ids
+    return _spelled(m, flat, sizes)
 
 
-def merge_long(m: Model, word: str) -> list[tuple[int, int, int]]:
+def merge_long(m: Model, word: str) -> Ragged:
     """`merge` for one long word, with a heap of pairs."""
-    known = {m.pieces[i]: int(i) for i in m.ids}
+    known = m.by_piece
     after, before, end = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
     alive, heap = [True] * len(word), []
 
@@ -261,16 +302,23 @@ def merge_long(m: Model, word: str) -> list[tuple[int, int, int]]:
         push(a)
         if before[a] >= 0:
             push(before[a])
-    return [(a, end[a], known.get(word[a : end[a]], -1)) for a in range(len(word)) if alive[a]]
+    ids = [known.get(word[a : end[a]], -2 - ord(word[a])) for a in range(len(word)) if alive[a]]
+    return _spelled(m, np.array(ids, np.int64), np.array([len(ids)]))
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of words."""
+    """Encodes texts by some algorithms, remembering the ids of words in flat arrays."""
 
-    def __init__(self, path: str, algorithm: str = "auto"):
+    def __init__(self, path: str, *algorithms: str):
         self.model = model(path)
-        self.merging = self.model.bpe if algorithm == "auto" else algorithm == "merge"
-        self.held: dict[str, list[int]] = {}
+        own = "merge" if self.model.bpe else "viterbi"
+        self.algorithms = [own if a == "auto" else a for a in algorithms or ("auto",)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.flat = [[np.zeros(0, np.uint32)] for _ in self.algorithms]
+        self.sizes = [[np.zeros(0, np.int64)] for _ in self.algorithms]
 
     def _learn(self, new: list[str]) -> None:
         m, by_size = self.model, {}
@@ -280,26 +328,39 @@ class Encoder:
             step = max(1, (1 << 18) // size)
             for a in range(0, len(own), step):
                 part = own[a : a + step]
-                if self.merging and size > LONG:
-                    paths = [merge_long(m, w) for w in part]
-                else:
-                    codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
-                    paths = (merge if self.merging else viterbi)(m, codes)
-                for w, path in zip(part, paths, strict=True):
-                    ids: list[int] = []
-                    for x, y, i in path:
-                        if i >= 0:
-                            ids.append(i)
-                        else:
-                            ids.extend(m.spell(w[x:y]))
-                    self.held[w] = ids
+                self.words.update(zip(part, range(len(self.words), len(self.words) + len(part)), strict=True))
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
+                for k, algorithm in enumerate(self.algorithms):
+                    if algorithm == "merge" and size > LONG:
+                        each = [merge_long(m, w) for w in part]
+                        flat, sizes = np.concatenate([f for f, _ in each]), np.concatenate([s for _, s in each])
+                    else:
+                        flat, sizes = (merge if algorithm == "merge" else viterbi)(m, codes)
+                    self.flat[k].append(flat.astype(np.uint32))
+                    self.sizes[k].append(sizes)
+
+    def encode_all(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For each algorithm the ids of each text."""
+        split = [self.model.words(t or "") for t in texts]
+        if len(self.words) > REMEMBERED:
+            self._forget()
+        self._learn(list(dict.fromkeys(w for ws in split for w in ws if w not in self.words)))
+        index = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        ends = np.cumsum([len(ws) for ws in split])
+        out = []
+        for k in range(len(self.algorithms)):
+            for held in (self.flat, self.sizes):
+                held[k] = [np.concatenate(held[k])]
+            flat, sizes = self.flat[k][0], self.sizes[k][0]
+            first, own = (np.cumsum(sizes) - sizes)[index], sizes[index]
+            upto = np.cumsum(own)
+            ids = flat[np.repeat(first - upto + own, own) + np.arange(int(own.sum()))]
+            cuts = np.concatenate(([0], upto))[np.concatenate(([0], ends)).astype(np.int64)]
+            out.append([ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.model.words(t or "") for t in texts]
-        if len(self.held) > REMEMBERED:
-            self.held.clear()
-        self._learn(list(dict.fromkeys(w for ws in split for w in ws if w not in self.held)))
-        return [np.fromiter(chain.from_iterable(map(self.held.__getitem__, ws)), np.uint32) for ws in split]
+        return self.encode_all(texts)[0]
 
 
 def decode_ids(path: str, ids) -> str:
@@ -318,8 +379,8 @@ def encode(docs: DataFrame, path: str | None = None, algorithm: str = "auto", te
     def run(batches):
         encoder = Encoder(path, algorithm)
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.slice(a, 200)
+            for a in range(0, len(batch), TEXTS):
+                part = batch.slice(a, TEXTS)
                 ids = encoder.encode(part.column(1).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))], schema=out)
@@ -349,14 +410,13 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     out = arrow_schema(schema)
 
     def run(batches):
-        both = Encoder(path), Encoder(path, "viterbi")
+        both = Encoder(path, "auto", "viterbi")
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.slice(a, 200)
+            for a in range(0, len(batch), TEXTS):
+                part = batch.slice(a, TEXTS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 columns, exact = [], np.ones(len(texts), bool)
-                for encoder in both:
-                    ids = encoder.encode(texts)
+                for ids in both.encode_all(texts):
                     columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
                     exact &= np.fromiter((decode_ids(path, x.tolist()) == t for x, t in zip(ids, texts, strict=True)), bool, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(exact)], schema=out)

@@ -82,6 +82,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_start = np.union1d(offsets[:-1][size > 0], breaks + 1)
     line_start = line_start[(line_start < len(data))]
     line_end = np.minimum(np.append(line_start[1:], len(data)), offsets[1:][np.searchsorted(offsets, line_start, "right") - 1])
+    line_end = line_end - (data[line_end - 1] == 10)
     line_row = np.searchsorted(offsets, line_start, "right") - 1
     lines = np.bincount(line_row, minlength=n)
     put("repeated_lines", 1 - _distinct(line_row, span_hashes(data, line_start, line_end), n) / np.maximum(lines, 1))

@@ -117,7 +117,12 @@ def _full(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """node, n, sig and the full set of each needed class, from the text of one of its documents."""
     schema = "fp1 long, fp2 long, n long, sig binary, full binary"
     out = arrow_schema(schema)
-    few = docs.select("doc_id", "text").join(need.select("doc_id").distinct().withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    docs = docs.select("doc_id", "text")
+    ids = saved(need.select("doc_id").filter("doc_id is not null").distinct().withColumn("one", F.lit(1)), "ids").filter("one > 0")
+    # before texts are dealt, Spark drops most of those that no bucket holds with a Bloom filter of the ids,
+    # as long as the ids are few enough for one; the predicate above is what makes it consider that
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16m")
+    few = docs.join(ids.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
     def run(batches):
         for _, sets in _sets(batches, k):

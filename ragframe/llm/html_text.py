@@ -36,7 +36,8 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search aler
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 #: A tag with a quote that never ends: it ends at the next ">".
 _BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)")
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: An attribute: its name, and its value with the quotes, if any; a quote that never ends takes in the rest of the tag.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s=/>]*)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 _SPACES = re.compile(r"\s+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 #: Tags that end the open element of the same group without an end tag.
@@ -56,7 +57,7 @@ def _place(tag: str, rest: str) -> tuple[int, bool]:
     """What an element says about its content (1, -1, or 0), and whether it is hidden."""
     told = 1 if tag in MAIN_TAGS else -1 if tag in OTHER_TAGS else 0
     hidden = tag in UNSEEN
-    if rest and "=" in rest or "hidden" in rest:
+    if rest:
         for name, value in _ATTRIBUTE.findall(rest):
             value, name = value.strip("\"'"), name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":

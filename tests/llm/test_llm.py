@@ -274,6 +274,16 @@ def test_html_extraction(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_attributes_count_by_their_whole_name():
+    tree = html_text.train()
+    wrappers = ['style="overflow:hidden"', 'title="hidden gems"', "title='class=\"menu\" hidden'", 'href="/hidden/x"', "href=/hidden/id=menu", 'data-hidden="false"', 'data-id="menu"', 'data-role="navigation"', 'href="/a?id=menu"', 'x-class=menu data-x="a" data-y = "role=search"', 'aria-hidden="false"', "class = 'story' data-hidden"]
+    for rest in wrappers:
+        assert html_text.main_text(f"<article><div {rest}><p>Ein Absatz.</p></div></article>", tree) == "Ein Absatz.", rest
+    for rest in ("hidden", "HIDDEN", "data-x=1 hidden=''", "aria-hidden=true", "title='x'hidden", 'Role="navigation"', "id=menu", 'class="a\nmenu"', "CLASS = menu", "title = 'x' / class=menu"):
+        assert html_text.main_text(f"<article><p>a</p><div {rest}><p>Ein Absatz.</p></div></article>", tree) == "a", rest
+    assert html_text.main_text('<article><p>a</p><p title="big hidden>b</p></article>', tree) == "a\nb"
+
+
 def test_html_tree_fits_its_table():
     x = np.array([r[:-1] for r in html_text.LABELLED], float)
     assert (html_text.decide(html_text.train(), x) == [r[-1] for r in html_text.LABELLED]).mean() > 0.97

@@ -67,6 +67,29 @@ def test_redaction(spark):
     assert out[0].text == 'a [secret]" b' and out[0].n_chars == len(out[0].text) and (out[1].text, out[2].text, out[3].text, out[0].kept) == ("rein", None, "", "x")
 
 
+def test_secrets_glued_to_ordinary_text(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list(secrets.ALPHABET[:62]))
+    draw = lambda n: "".join(rng.choice(letters, n))
+    names = lambda n, sep: sep.join(rng.choice(secrets.WORDS, n))
+    cases = []
+    for n in (24, 32, 40):
+        for k in (2, 4, 8):
+            for _ in range(10):
+                cases += [(names(k, "_") + "=", [draw(n)], ""), ("é /" + names(k, "/") + "/", [draw(n)], "/" + names(k, "-")), (names(k, "-") + "/", [draw(n), draw(n)], " fin")]
+    texts = [head + ("/" + names(12, "/") + "/").join(own) + tail for head, own, tail in cases]
+    plain = [names(k, sep) for k in (3, 6, 12) for sep in "_-/=" for _ in range(10)]
+    rows = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts + plain)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    found = [all(any(a <= texts[i].index(x) + 2 and b >= texts[i].index(x) + len(x) - 2 for a, b in (map(int, s.split(":")[1:]) for s in rows[i].spans.split(",") if s)) for x in own) for i, (_, own, _) in enumerate(cases)]
+    assert np.mean(found) > 0.97
+    assert np.mean([x in clean[i] for i, (_, own, _) in enumerate(cases) for x in own]) < 0.02
+    assert sum(rows[len(texts) + i].n_markov > 0 for i in range(len(plain))) <= 2
+    one = "session_cookie_value=Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hs6Jd1Gf0Ca /account/service/profile/network/Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hs6Jd1Gf0Ca/connection/settings"
+    masked = secrets.redact(docs_of(spark, [one])).first().text
+    assert "Zx9" not in masked and "0Ca" not in masked and masked.endswith("/connection/settings") and "/account/service/profile/network" in masked
+
+
 # --- exact dedup ---------------------------------------------------------------------------------------
 
 

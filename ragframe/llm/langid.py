@@ -1,13 +1,14 @@
 """Language identification with bit-sliced Bloom filters of character trigrams.
 
 One array of words holds a Bloom filter for each language, a bit of the word for a language: the AND of
-the words that a trigram's hashes point at is the set of all languages that contain it.  For each text
+the words that a trigram's hashes point at is the set of all languages that contain it.  More than 64
+languages have an array of words for each 64.  For each text
 the bits are counted by language, the counts are corrected for each filter's false-positive rate, and
 the largest corrected count decides.
 
 The filters are learnt from a bounded sample: about PER_LANGUAGE documents of each language, those whose
 ids hash below a rate.  A trigram belongs to a language if its share there is at least RELATIVE of its
-largest share in any language.  At most 64 languages, the most frequent ones, are learnt.
+largest share in any language.  Every language of the learning fold has a filter.
 
 Defined results.  A null text, and one without letters, is "und" with score 0.  Equal counts go to the
 language that comes first by name.  The score is the winner's part of all corrected counts.  A null lang
@@ -17,6 +18,8 @@ ids too; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, crc_mod, mix, slices, small_batches, utf8
 
 PER_LANGUAGE = 3000
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 LEAST_COUNT, RELATIVE = 5, 0.5
 HASHES, SLOTS = 3, 1 << 18
 #: Trigrams of a language that its filter holds, the most frequent ones.
@@ -70,28 +73,28 @@ class Filters:
 
     def __init__(self, languages: list[str], grams: list[np.ndarray]):
         self.languages = languages
-        kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-        self.words = np.zeros(SLOTS, kind)
+        kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= bits), np.uint64)
+        self.words = np.zeros((max(1, -(-len(languages) // WORD_BITS)), SLOTS), kind)
         for bit, own in enumerate(grams):
             for slot in _slots(own):
-                self.words[slot] |= kind(1 << bit)
-        self.false = np.array([float(((self.words >> kind(b)) & kind(1)).mean()) ** HASHES for b in range(len(languages))])
+                self.words[bit // WORD_BITS, slot] |= kind(1 << bit % WORD_BITS)
+        self.false = np.array([float(((self.words[b // WORD_BITS] >> kind(b % WORD_BITS)) & kind(1)).mean()) ** HASHES for b in range(len(languages))])
 
-    def sets(self, grams: np.ndarray) -> np.ndarray:
-        """For each trigram the bitmask of the languages that (seem to) contain it."""
+    def sets(self, grams: np.ndarray, part: int = 0) -> np.ndarray:
+        """For each trigram the bitmask of the languages that (seem to) contain it, of those with the bits of a part."""
         out = None
         for slot in _slots(grams):
-            out = self.words[slot] if out is None else out & self.words[slot]
+            out = self.words[part, slot] if out is None else out & self.words[part, slot]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts by text and language, and the letters of each text."""
         grams, row, letters = trigrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
-        if len(grams) and self.languages:
-            found = self.sets(grams)
-            for b in range(len(self.languages)):
-                hits = np.bincount(row[(found >> found.dtype.type(b)) & found.dtype.type(1) != 0], minlength=len(texts))
+        for part in range(len(self.words) if len(grams) else 0):
+            found = self.sets(grams, part)
+            for b in range(part * WORD_BITS, min(len(self.languages), (part + 1) * WORD_BITS)):
+                hits = np.bincount(row[(found >> found.dtype.type(b % WORD_BITS)) & found.dtype.type(1) != 0], minlength=len(texts))
                 out[:, b] = np.maximum(0, (hits - letters * self.false[b]) / max(1e-9, 1 - self.false[b]))
         return out, letters
 
@@ -109,18 +112,20 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from doc_id, text and lang of the documents outside the held-out fold."""
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Filters([], [])
     languages = sorted(n)
-    rate = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n[x]))) for x in languages])
+    bits = {x: bit for bit, x in enumerate(languages)}
+    rates = F.map_from_entries(F.from_json(F.lit(json.dumps([{"k": x, "v": min(1.0, per_language / n[x])} for x in languages if n[x] > per_language])), "array<struct<k:string,v:double>>"))
+    rate = F.coalesce(F.element_at(rates, F.col("lang")), F.lit(1.0))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20) < rate)
 
     out = arrow_schema("bit int, gram long, n long")
 
     def run(batches):
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
+            texts, langs = batch.column("text").to_pylist(), np.array([bits[x] for x in batch.column("lang").to_pylist()], np.int64)
             _, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 grams, row, _ = trigrams(texts[a:b])

@@ -254,6 +254,18 @@ def test_language_edges(spark):
     assert langid.identify(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(2)
+    names = [f"l'{i}" for i in range(140)]
+    own = {x: ["".join(map(chr, rng.integers(0x4E00, 0x9000, 6))) for _ in range(5)] for x in names}
+    rows = [(i * 140 + j, " ".join(rng.choice(own[x], 30)), x) for i in range(12 + 4) for j, x in enumerate(names) if i < 12 or j % 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.learn(docs, per_language=8)
+    assert model.languages == sorted(names)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.learn(docs)).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows]) > 0.99 and set(got.values()) == set(names)
+
+
 def test_bloom_filters_hold_all_and_little_else():
     grams = [np.arange(i * 10**6, i * 10**6 + 20000, dtype=np.uint64) for i in range(3)]
     f = langid.Filters(["a", "b", "c"], grams)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -12,10 +13,6 @@ from pyspark.sql.types import StringType
 
 from . import fixed
 
-#: Letters with marks that Spanish text has, and what they lose by stripping them.
-_MARKED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
-
-
 def java(pattern: str, flags: str = "iu") -> str:
     """A pattern written for Python's re in Java's syntax: classes are Unicode's, case as the flags say."""
     return f"(?U{flags})" + pattern.replace("[^\\S\\n]", "[\\s&&[^\\n]]")
@@ -43,11 +40,35 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def without_marks(text: str) -> str:
+    """H3 in Python: compatibility decomposition without combining characters."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(StringType())
+def nfkd(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else without_marks(t))
+
+
+@functools.cache
+def _stripping() -> tuple[str, str, str]:
+    """Characters that stripping changes: those that become one character and what they become, with the marks that
+    go at the end of the former; and a pattern of those that become several."""
+    changed = {c: out for c in map(chr, (*range(128, 0xD800), *range(0xE000, 0x110000))) if (out := without_marks(c)) != c}
+    single, gone = [c for c in changed if len(changed[c]) == 1], [c for c in changed if not changed[c]]
+    runs: list[list[int]] = []
+    for c in (ord(c) for c in changed if len(changed[c]) > 1):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(single + gone), "".join(changed[c] for c in single), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def strip_accents(text: Column) -> Column:
-    """H3 for the letters of Spanish and its neighbours; any other mark is dropped too where it is a character."""
-    upper = "".join(c.upper() if len(c.upper()) == 1 else c for c in _MARKED)
-    plain_upper = "".join(p.upper() if len(c.upper()) == 1 else p for c, p in zip(_MARKED, _PLAIN, strict=True))
-    return F.regexp_replace(F.translate(text, _MARKED + upper, _PLAIN + plain_upper), r"\p{Mn}+", "")
+    """H3; only texts with characters that become several leave the JVM."""
+    marked, plain, several = _stripping()
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).when(text.rlike(several), nfkd(F.when(text.rlike(several), text))).otherwise(F.translate(text, marked, plain))
 
 
 def bm25_tokens(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Text, record and intent functions on small literals."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def test_clean_chain(spark):
     assert row.text == "Málaga y más\nx\n\nfin"
 
 
+def test_marks_are_stripped_from_all_letters(spark):
+    letters = [chr(i) for i in (*range(1, 0xD800), *range(0xE000, 0x30000))]
+    texts = ["čeština Łódź ąęő șț Ṩ ǅ ｆｕｌｌ", "ﬁn ½ ㎏ 각 ß", "e\u0301 a\u20dd", "año", "plain", "", None, *("".join(letters[i : i + 64]) for i in range(0, len(letters), 64))]
+    strip = lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    rows = spark.createDataFrame(list(enumerate(texts + letters[:12000])), "i int, x string").select("i", t.strip_accents(F.col("x")).alias("y")).collect()
+    assert {r.i: r.y for r in rows} == dict(enumerate(map(strip, texts + letters[:12000])))
+    assert sorted(one(spark, "Dvořák přišel, ﬁnale", t.salient_tokens)) == ["dvorak", "finale", "prisel"]
+
+
 @pytest.mark.parametrize("text, want", [("Matrícula 2025-2026, AÑO!", ["matrícula", "2025", "2026", "año"]), ("", []), ("?!", [])])
 def test_bm25_tokens(spark, text, want):
     assert one(spark, text, t.bm25_tokens) == want

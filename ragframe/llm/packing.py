@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, partitions, saved, small_batches
+from .common import arrow_schema, partitions, saved
 
 LENGTH = 1024
 END_ID = 2
@@ -38,6 +39,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A run of white space from which a text goes through `tokenizers`: the other library's regular expression
+#: recurses on such runs and overflows its stack at a million characters.  Both give the same ids.
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"\s{1000,}")
+
+
+def _long_space(text: str) -> bool:
+    return len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in _SPACE.finditer(text))
+
+
 #: The pre-tokenizer of the vocabulary's family, as its README gives it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -47,7 +58,8 @@ def encoder(path: str):
     """text -> ids, as `tokenizers` gives them without special tokens added.
 
     The byte-level vocabulary of the file runs in tiktoken, which is several times as fast and gives the
-    same ids; a text that holds a special token's string goes through `tokenizers` itself.
+    same ids; a text that holds a special token's string or a very long run of white space goes through
+    `tokenizers` itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -60,12 +72,11 @@ def encoder(path: str):
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_file(path)
-    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) or _long_space(text) else fast.encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    small_batches(docs.sparkSession)
     path = path or default_tokenizer()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     out = arrow_schema(schema)
@@ -215,9 +226,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `length` rows
         histogram[r.length] = r.n
     at = places(plan(histogram, length), histogram)
+    # the sums are dealt like the ranks, so that the table (lengths x salts) is sorted beside them, never broadcast
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = cut.withColumn("rank", F.row_number().over(order) - 1).join(before.hint("merge"), ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     out = arrow_schema(schema)
 

@@ -1,11 +1,15 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of residuals are fitted on the driver, on at most SAMPLE vectors, those
-whose ids hash lowest.  Every distinct vector is encoded: the nearest centroid and one byte for each
-sub-vector of the residual.  Lists of near centroids are gathered in shards; a shard is dealt in blocks of
-about BLOCK vectors and its queries in chunks, so a crowded list is shared out.  A query goes to the
-blocks of its probed lists only, scores their codes with tables of asymmetric distances, and keeps RERANK
-candidates; those are ranked by the exact distance of the original vectors.
+Coarse centroids and the codebooks of residuals are fitted on the driver, on a sample of 32 vectors for
+each list (4,096 at least, SAMPLE at most, SAMPLE_BYTES in all), those whose ids hash lowest.  Every
+distinct vector is encoded: the nearest centroid and one byte for each sub-vector of the residual.  Lists
+of near centroids are gathered in shards; a shard is dealt in blocks of vectors and its queries in chunks,
+so a crowded list is shared out.  A query goes to the blocks of the shards that hold its probed lists,
+scores their codes with tables of asymmetric distances, and keeps RERANK candidates (more in large
+tables); those are ranked by the exact distance of the original vectors.
+
+|q - c - r|^2 is |q - c|^2 + (|r|^2 + 2 c.r) - 2 q.r: the first term is one number for each query and list,
+the second one for each vector, and the last comes from one table for each query, whatever the list.
 
 How many lists a query probes is calibrated on the sample: as few as hold COVER of the true neighbours of
 sample queries.  Vectors without structure need most lists, clustered ones few.
@@ -14,9 +18,12 @@ Equal vectors are one entry of the index, with the K + 1 smallest ids as members
 among the K nearest, since all tie.
 
 Defined results.  Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do rows without id.  Rows that repeat an id are one candidate; a query whose
-id has several vectors uses the one that hashes lowest.  With fewer than K candidates all are returned.
-Ties go to the smaller id.  An empty table gives an empty result; other columns are ignored.
+components take no part, nor do rows without id.  Rows that repeat an id and its vector count once.  An
+id with several vectors is one candidate, at the distance of its nearest vector found; as a query it uses
+the one that hashes lowest.  With fewer than K candidates all are returned.  Ties go to the smaller id.
+The index sees components scaled and bounded, so that very large ones can't overflow; scores are those of
+the vectors as they are (infinite only where the distance is no double).  An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +35,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import partitions, saved
 
 K, RERANK = 10, 200
-SAMPLE, MAX_LISTS, COVER = 16_384, 1024, 0.985
-BLOCK, CHUNK, FAN_IN = 4096, 4096, 64
+SAMPLE, SAMPLE_BYTES, COVER = 65_536, 1 << 27, 0.985
+#: Vectors of a block and queries of a chunk; blocks grow with the table, so that queries aren't copied to ever more of them.
+LEAST_BLOCK, MOST_BLOCK, CHUNK, FAN_IN = 4096, 1 << 17, 2048, 64
 SUBVECTORS, CODES = 16, 256
+#: Scaled components are cut off here; only the index sees that.
+BOUND = 1e4
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -56,46 +66,78 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _vectors(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, 1))
+
+
 @dataclass
 class Index:
-    """Coarse centroids, their shards, the codebooks of residuals, and how many lists a query probes."""
+    """Scale of components, coarse centroids and their shards, codebooks of residuals, number of lists to probe."""
 
+    scale: float
     centres: np.ndarray
     shards: np.ndarray
     books: list
     probes: int
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x / self.scale, -BOUND, BOUND)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = _nearest(x, self.centres)
         left = x - self.centres[own]
         return own, np.column_stack([_nearest(left[:, a:b], book) for a, b, book in self.books]).astype(np.uint8)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort((self.centres**2).sum(1) - 2 * q @ self.centres.T, axis=1, kind="stable")[:, : self.probes]
-
-    def search(self, query: np.ndarray, starts: np.ndarray, codes: np.ndarray, ids: np.ndarray, lists: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n smallest (asymmetric distance, id) among the codes in `lists`, codes being sorted by list."""
-        dist, found = [], []
-        for c in lists:
-            a, b = starts[c], starts[c + 1]
-            if a == b:
-                continue
-            left = query - self.centres[c]
-            d = np.zeros(b - a)
-            for m, (x, y, book) in enumerate(self.books):
-                d += ((left[x:y] - book) ** 2).sum(1)[codes[a:b, m]]
-            dist.append(d), found.append(ids[a:b])
-        if not dist:
-            return np.zeros(0), ids[:0]
-        dist, found = np.concatenate(dist), np.concatenate(found)
-        best = np.lexsort((found, dist))[:n]
-        return dist[best], found[best]
-
-
-def train(sample: np.ndarray, size: int) -> Index:
-    lists = max(1, min(MAX_LISTS, int(size**0.5), len(sample) // 8))
+    def to_lists(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries and centroids."""
+        return (q**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * q @ self.centres.T
+
+    def probed(self, far: np.ndarray) -> np.ndarray:
+        """The lists to probe, as a matrix of truth values."""
+        out = np.zeros(far.shape, bool)
+        np.put_along_axis(out, np.argsort(far, axis=1, kind="stable")[:, : self.probes], True, 1)
+        return out
+
+    def search(self, q: np.ndarray, codes: np.ndarray, lists: np.ndarray, ids: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the n smallest (asymmetric distance, id) among the codes whose lists it probes."""
+        columns = np.ascontiguousarray(codes.T)
+        r = np.hstack([book[c] for (_, _, book), c in zip(self.books, columns, strict=True)])
+        own = (r**2).sum(1) + 2 * (r * self.centres[lists]).sum(1)
+        far = self.to_lists(q)
+        probed, out = self.probed(far), []
+        tables = [-2 * q[:, a:b] @ book.T for a, b, book in self.books]
+        for k in range(len(q)):
+            at = np.flatnonzero(probed[k][lists])
+            d = far[k][lists[at]] + own[at]
+            for table, column in zip(tables, columns, strict=True):
+                d += table[k][column[at]]
+            if len(at) > n:
+                few = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+                at, d = at[few], d[few]
+            best = np.lexsort((ids[at], d))[:n]
+            out.append((d[best], ids[at[best]]))
+        return out
+
+
+def lists_for(size: int) -> int:
+    return max(1, min(int(size**0.5), SAMPLE // 32))
+
+
+def rerank_for(size: int) -> int:
+    """Candidates to rank exactly: more in larger tables, where more codes lie as near as the true neighbours'."""
+    return max(RERANK, int(5.4 * size ** (1 / 3)))
+
+
+def sample_size(size: int, width: int) -> int:
+    return max(1, min(size, SAMPLE, SAMPLE_BYTES // (8 * width), max(4096, 32 * lists_for(size))))
+
+
+def train(sample: np.ndarray, size: int, block: int) -> Index:
+    scale = float(np.median(np.abs(sample).max(1)))
+    sample = np.clip(sample / scale, -BOUND, BOUND)
+    lists = max(1, min(lists_for(size), len(sample) // 8))
     centres = kmeans(sample, lists)
-    shards = _nearest(centres, kmeans(centres, -(-size // BLOCK), 8))
+    shards = _nearest(centres, kmeans(centres, -(-size // block), 8))
     own = _nearest(sample, centres)
     left = sample - centres[own]
     edges = np.linspace(0, sample.shape[1], min(SUBVECTORS, sample.shape[1]) + 1).astype(int)
@@ -104,9 +146,18 @@ def train(sample: np.ndarray, size: int) -> Index:
     dist = (sample**2).sum(1) - 2 * q @ sample.T
     dist[np.arange(len(q)), np.arange(len(q))] = np.inf
     true = own[np.argpartition(dist, min(K, len(sample) - 1), axis=1)[:, :K]]
-    order = np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1)[np.arange(len(q))[:, None], true]
-    return Index(centres, shards, books, int(np.quantile(rank, COVER, method="higher")) + 1)
+    index = Index(scale, centres, shards, books, 0)
+    rank = np.argsort(np.argsort(index.to_lists(q), axis=1, kind="stable"), axis=1)[np.arange(len(q))[:, None], true]
+    index.probes = int(np.quantile(rank, COVER, method="higher")) + 1
+    return index
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise Euclidean distances; rows whose squares would leave the range of doubles are scaled first."""
+    most = np.maximum(np.abs(a).max(1, initial=0), np.abs(b).max(1, initial=0))
+    scale = np.where((most > 1e150) | (most < 1e-140), np.maximum(most, np.finfo(float).tiny), 1.0)[:, None]
+    with np.errstate(over="ignore"):
+        return np.sqrt(((a / scale - b / scale) ** 2).sum(1)) * scale[:, 0]
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -126,57 +177,69 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     key = F.md5(F.to_json(F.transform("v", lambda x: x + F.lit(0.0))).cast("binary"))
     rows = saved(rows.withColumn("key", key), "vectors")
     place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    members = saved(rows.select("key", "id", "v").withColumn("place", place).filter(F.col("place") <= k + 1), "members")
-    classes = members.filter("place = 1").select(F.col("id").alias("rep"), "key", "v")
+    members = saved(rows.select("key", "id").distinct().withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"), "members")
+    classes = saved(rows.withColumn("place", place).filter("place = 1").select(F.col("id").alias("rep"), "key", "v"), "classes")
     size = classes.count()
     if not size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
-    index = train(np.array([r.v for r in sample]), size)
+    rerank = rerank_for(size)
+    width = classes.select(F.size("v")).first()[0]
+    sample = classes.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(sample_size(size, width)).select("v").collect()
+    block = int(np.clip(size // (4 * partitions(spark)), LEAST_BLOCK, MOST_BLOCK))
+    index = train(np.array([r.v for r in sample]), size, block)
 
     def encoded(batches):
         for x in batches:
-            own, codes = index.encode(np.stack(x.v.to_numpy()))
-            yield pd.DataFrame({"rep": x.rep, "list": own, "shard": index.shards[own], "code": [c.tobytes() for c in codes]})
+            own, codes = index.encode(index.scaled(_vectors(x.v))) if len(x) else ([], [])
+            yield pd.DataFrame({"key": x.key, "list": own, "shard": index.shards[own] if len(x) else [], "code": [c.tobytes() for c in codes]})
 
-    codes = saved(classes.select("rep", "v").mapInPandas(encoded, "rep long, list int, shard int, code binary"), "codes")
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "key").alias("v"), F.min("key").alias("key"))
+    # a class is known by a number, its key's hash; where two keys share one, both are ranked
+    codes = saved(classes.select("key", "v").mapInPandas(encoded, "key string, list int, shard int, code binary").withColumn("rep", F.xxhash64("key")).drop("key"), "codes")
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", "key").alias("v"))
     queries = saved(queries.withColumnRenamed("id", "query_id"), "queries")
 
     def probed(batches):
         for x in batches:
-            lists = index.probe(np.stack(x.v.to_numpy())) if len(x) else []
-            for q, v, own in zip(x.query_id, x.v, lists, strict=True):
-                yield pd.DataFrame([(q, v, own[index.shards[own] == s], s) for s in np.unique(index.shards[own])], columns=["query_id", "v", "lists", "shard"])
+            lists = index.probed(index.to_lists(index.scaled(_vectors(x.v)))) if len(x) else []
+            shards = [np.unique(index.shards[own]) for own in lists]
+            yield pd.DataFrame({"query_id": np.repeat(x.query_id.to_numpy(), [len(s) for s in shards]), "shard": np.concatenate([*shards, np.zeros(0, np.int64)])})
 
-    asked = saved(queries.select("query_id", "v").mapInPandas(probed, "query_id long, v array<double>, lists array<int>, shard int"), "asked")
-    blocks = codes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asked = saved(queries.select("query_id", "v").mapInPandas(probed, "query_id long, shard int"), "asked")
+    blocks = codes.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     chunks = asked.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = blocks.join(chunks, "shard")  # a few rows for each shard
+    dealt = saved(blocks.join(chunks, "shard"), "dealt")  # a row for each shard
+    tasks = dealt.agg(F.sum(F.col("blocks") * F.col("chunks"))).first()[0] or 1
+    # by work, not by bytes: codes are small, but each meets many queries
+    tasks = max(1, min(int(tasks), 8 * partitions(spark)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = codes.join(dealt, "shard").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("chunk", each("chunks"))
+    keys = ["shard", "block", "chunk"]
+    left = codes.join(dealt, "shard").withColumn("block", F.pmod("rep", "blocks").cast("int")).withColumn("chunk", each("chunks"))
     right = asked.join(dealt, "shard").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).withColumn("block", each("blocks"))
+    right = right.join(queries, "query_id")
     schema = "query_id long, part int, reps array<long>, dists array<double>"
 
     def scored(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(q):
+            return pd.DataFrame([], columns=["query_id", "part", "reps", "dists"])
         x = x.sort_values(["list", "rep"], kind="stable")
-        starts = np.searchsorted(x.list.to_numpy(), np.arange(len(index.centres) + 1))
-        code, ids = np.frombuffer(b"".join(x.code), np.uint8).reshape(len(x), len(index.books)), x.rep.to_numpy()
+        code = np.frombuffer(b"".join(x.code), np.uint8).reshape(len(x), len(index.books))
+        lists, ids, part = x.list.to_numpy(), x.rep.to_numpy(), int(key[0]) * 7919 + int(key[1])
         out = []
-        for query, v, lists in zip(q.query_id, q.v, q.lists, strict=True):
-            dist, found = index.search(np.asarray(v), starts, code, ids, lists, RERANK)
-            out.append((query, int(key[0]) * 7919 + int(key[1]), found, dist))
+        for a in range(0, len(q), 256):
+            own = q.iloc[a : a + 256]
+            found = index.search(index.scaled(_vectors(own.v)), code, lists, ids, rerank)
+            out += [(query, part, reps, dist) for query, (dist, reps) in zip(own.query_id, found, strict=True) if len(reps)]
         return pd.DataFrame(out, columns=["query_id", "part", "reps", "dists"])
 
-    keys = ["shard", "block", "chunk"]
-    found = left.select(*keys, "rep", "list", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v", "lists").groupBy(*keys)).applyInPandas(scored, schema)
+    sides = [d.select(*keys, *own).repartition(tasks, *keys).groupBy(*keys) for d, own in ((left, ("rep", "list", "code")), (right, ("query_id", "v")))]
+    found = sides[0].cogroup(sides[1]).applyInPandas(scored, schema)
 
     def merged(key, x: pd.DataFrame) -> pd.DataFrame:
         dist, reps = np.concatenate([*x.dists]), np.concatenate([*x.reps]).astype(np.int64)
-        best = np.lexsort((reps, dist))[:RERANK]
+        best = np.lexsort((reps, dist))[:rerank]
         return pd.DataFrame([(key[0], int(x.part.iloc[0]), reps[best], dist[best])], columns=["query_id", "part", "reps", "dists"])
 
-    parts = -(-size // BLOCK)
+    parts = -(-size // block)
     while parts > FAN_IN:  # so that a merging task never holds more than about FAN_IN lists of RERANK
         parts = -(-parts // FAN_IN)
         found = found.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("query_id", "part").applyInPandas(merged, schema)
@@ -184,14 +247,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 
     def exact(batches):
         for x in batches:
-            a, b = (np.stack(c.to_numpy()) for c in (x.a, x.b)) if len(x) else (np.zeros((0, 1)),) * 2
-            yield pd.DataFrame({"query_id": x.query_id, "key": x.key, "score": np.sqrt(((a - b) ** 2).sum(1))})
+            yield pd.DataFrame({"query_id": x.query_id, "key": x.key, "score": distances(_vectors(x.a), _vectors(x.b))})
 
-    pairs = candidates.join(classes.select("rep", "key", F.col("v").alias("b")), "rep").join(queries.select("query_id", F.col("v").alias("a")), "query_id")
+    pairs = candidates.join(classes.select(F.xxhash64("key").alias("rep"), "key", F.col("v").alias("b")), "rep").join(queries.select("query_id", F.col("v").alias("a")), "query_id")
     scores = pairs.select("query_id", "key", "a", "b").mapInPandas(exact, "query_id long, key string, score double")
-    ids = members.select("key", F.col("id").alias("vec_id")).distinct()
+    near = scores.join(members, "key").filter("id <> query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    # no more than k + 1 classes of a query can matter, each with k + 1 members at most
-    few = scores.withColumn("place", F.dense_rank().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("place") <= k + 1).drop("place")
-    ranked = few.join(ids, "key").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

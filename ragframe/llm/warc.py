@@ -6,11 +6,13 @@ WARC-Concurrent-To.  `write` makes gzipped files of such records, `read` parses
 row per record, `assemble` joins the records of a transaction into one nested row per capture.
 
 Files are written by Spark's text sink, whose row separator is the blank lines that end a record, and
-read by Spark's binaryFile source; so both work on any store that Spark reads.  A file holds at most
-RECORDS_PER_FILE rows, which bounds what a reading task holds.
+read by Spark's binaryFile source; so both work on any store that Spark reads.  A file holds the records of
+about BYTES_PER_FILE, or one capture that is larger, and is one gzip member.  A reading task holds the
+compressed file and takes its records from a stream, so its memory depends on neither the number of records
+nor, beyond one record, their size.
 
 Defined results.  Null html is an empty payload.  Of equal payloads the smallest page_id is the
-response (a null page_id only where all are null; of repeated page_ids the first row read); the others
+response (a null page_id only where all are null; of repeated page_ids the one with the smallest record id); the others
 revisit it.  Every row has its own record ids, so repeated rows give several captures.  An empty table
 gives no files and no rows.  Records that no response or revisit names are left out by `assemble`; a
 second request or metadata record for one capture is kept out, the smallest record id stays.
@@ -19,18 +21,19 @@ second request or metadata record for one capture is kept out, the smallest reco
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
-import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, saved, shared_dir, small_batches
+from .common import arrow_schema, saved, shared_dir
 
-RECORDS_PER_FILE = 3000
+BYTES_PER_FILE = 1 << 25
 #: The format's end of a record. Fixed by the standard.
 RECORD_END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -74,7 +77,7 @@ def _named(uid, kind: str):
     return F.concat_ws("-", *[F.substring(hexed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Three records for each row of pages (page_id, url, html) into gzipped WARC files under path."""
     rows = transactions(pages)
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\\r\\n]+", " ")
@@ -91,26 +94,41 @@ def write(pages: DataFrame, path: str) -> None:
     request = F.concat(*_record("request", _named(uid, "request"), [("WARC-Target-URI", url), ("WARC-Concurrent-To", angle(uid)), ("Content-Type", F.lit("application/http; msgtype=request"))], asked))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = F.concat(*_record("metadata", _named(uid, "metadata"), [("WARC-Target-URI", url), ("WARC-Concurrent-To", angle(uid)), ("Content-Type", F.lit("application/warc-fields"))], fields))
-    lines = rows.select(F.concat(request, end, F.when(again, revisit).otherwise(full), end, metadata).alias("value"))
-    lines.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = rows.select(F.concat(request, end, F.when(again, revisit).otherwise(full), end, metadata).cast("binary").alias("value"))
+    # a row for each file, since the sink counts rows only
+    whole = lines.mapInArrow(_files(bytes_per_file), "value binary").select(F.col("value").cast("string").alias("value"))
+    whole.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
 
 
-def _members(content: bytes) -> io.BufferedReader:
-    """The content without compression: gzip with one or more members, or plain."""
+def _files(limit: int):
+    """Joins rows to rows of about `limit` bytes, with the end of a record between them."""
+    schema, end = pa.schema([("value", pa.binary())]), RECORD_END.encode()
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for value, n in zip(batch.column("value"), pc.binary_length(batch.column("value")).to_pylist(), strict=True):
+                if held and size + n > limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], schema=schema)
+                    held, size = [], 0
+                held.append(value.as_py())
+                size += n
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], schema=schema)
+
+    return run
+
+
+def _stream(content: bytes) -> io.BufferedIOBase:
+    """The content without compression, as a stream: gzip with one or more members, or plain."""
     if content[:2] != b"\x1f\x8b":
         return io.BytesIO(content)
-    out = io.BytesIO()
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.write(member.decompress(content))
-        content = member.unused_data
-    out.seek(0)
-    return out
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 16)
 
 
 def records(content: bytes):
     """The records of a WARC file: (headers with lower-case names, block)."""
-    stream = _members(content)
+    stream = _stream(content)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -153,7 +171,10 @@ def _parse(keep_payload: bool):
 
 
 def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """One row per record of the WARC files under path; the digest of a response is taken from its bytes."""
+    """One row per record of the WARC files under path; the digest of a response is taken from its bytes.
+
+    Arrow batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so files come a few at a time.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_parse(keep_payload), RECORD)
@@ -179,13 +200,11 @@ def assemble(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages into archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     captures = assemble(read(spark, path, keep_payload=False))
     page = F.expr("try_cast(nullif(regexp_extract(metadata.block, 'page-id: (-?[0-9]*)', 1), '') as bigint)")
     flat = saved(captures.select("capture", page.alias("page_id"), "record_type", F.col("response.refers_to").alias("target"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")), "flat")
-    small_batches(spark)  # `read` has files as rows, one in a batch
     first = flat.filter("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
     joined = flat.filter("record_type = 'revisit'").drop("payload_bytes").join(first, "target").select("page_id", F.col("first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return flat.filter("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)

@@ -2,8 +2,8 @@
 
 One array of words holds a Bloom filter for each language, a bit of the word for a language: the AND of
 the words that a trigram's hashes point at is the set of all languages that contain it.  More than 64
-languages have an array of words for each 64.  For each text
-the bits are counted by language, the counts are corrected for each filter's false-positive rate, and
+languages have an array of words for each 64.  Filters are as long as the largest language's set needs, in
+words of a power of two.  For each text the bits are counted by language, the counts are corrected for each filter's false-positive rate, and
 the largest corrected count decides.
 
 The filters are learnt from a bounded sample: about PER_LANGUAGE documents of each language, those whose
@@ -22,17 +22,16 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_mod, mix, slices, small_batches, utf8
+from .common import arrow_schema, crc_mod, mix, saved, slices, utf8
 
 PER_LANGUAGE = 3000
 WORD_BITS = 64
 LEAST_COUNT, RELATIVE = 5, 0.5
-HASHES, SLOTS = 3, 1 << 18
-#: Trigrams of a language that its filter holds, the most frequent ones.
-MAX_GRAMS = 40_000
+#: Hashes of a trigram, the fewest slots of a filter, and slots for each trigram of the largest language.
+HASHES, SLOTS, SLOTS_EACH = 3, 1 << 18, 6
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -61,11 +60,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, row, np.bincount(row, minlength=len(texts))
 
 
-def _slots(grams: np.ndarray):
+def _slots(grams: np.ndarray, size: int):
     h = mix(grams)
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        yield ((h + np.uint64(i) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
+        yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
 class Filters:
@@ -74,16 +73,17 @@ class Filters:
     def __init__(self, languages: list[str], grams: list[np.ndarray]):
         self.languages = languages
         kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= bits), np.uint64)
-        self.words = np.zeros((max(1, -(-len(languages) // WORD_BITS)), SLOTS), kind)
+        self.size = max(SLOTS, 1 << int(SLOTS_EACH * max((len(x) for x in grams), default=1)).bit_length())
+        self.words = np.zeros((max(1, -(-len(languages) // WORD_BITS)), self.size), kind)
         for bit, own in enumerate(grams):
-            for slot in _slots(own):
+            for slot in _slots(own, self.size):
                 self.words[bit // WORD_BITS, slot] |= kind(1 << bit % WORD_BITS)
         self.false = np.array([float(((self.words[b // WORD_BITS] >> kind(b % WORD_BITS)) & kind(1)).mean()) ** HASHES for b in range(len(languages))])
 
     def sets(self, grams: np.ndarray, part: int = 0) -> np.ndarray:
         """For each trigram the bitmask of the languages that (seem to) contain it, of those with the bits of a part."""
         out = None
-        for slot in _slots(grams):
+        for slot in _slots(grams, self.size):
             out = self.words[part, slot] if out is None else out & self.words[part, slot]
         return out
 
@@ -110,7 +110,6 @@ class Filters:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from doc_id, text and lang of the documents outside the held-out fold."""
-    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
     n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
@@ -133,16 +132,19 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
                     codes, counts = np.unique(grams[langs[a:b][row] == bit], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), bit, np.int32)), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], schema=out)
 
-    grams = sample.select("text", "lang").mapInArrow(run, "bit int, gram long, n long").groupBy("bit", "gram").agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_COUNT}").toPandas()
-    grams["share"] = grams.n / grams.groupby("bit").n.transform("sum")
-    own = grams[grams.share >= RELATIVE * grams.groupby("gram").share.transform("max")].sort_values(["n", "gram"], ascending=[False, True])
-    return Filters(languages, [own[own.bit == b].gram.to_numpy()[:MAX_GRAMS].astype(np.uint64) for b in range(len(languages))])
+    # shares and the largest of them are taken by Spark: only the trigrams that a filter will hold reach the driver
+    counted = saved(sample.select("text", "lang").mapInArrow(run, "bit int, gram long, n long").groupBy("bit", "gram").agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_COUNT}"), "grams")
+    totals = F.broadcast(counted.groupBy("bit").agg(F.sum("n").alias("total")))  # a row for each language
+    shares = counted.join(totals, "bit").select("bit", "gram", (F.col("n") / F.col("total")).alias("share"))
+    least = F.max("share").over(Window.partitionBy("gram")) * RELATIVE
+    own = shares.withColumn("least", least).filter("share >= least").groupBy("bit").agg(F.sort_array(F.collect_list("gram")).alias("grams")).collect()
+    held = {r.bit: np.array(r.grams, np.int64).astype(np.uint64) for r in own}
+    return Filters(languages, [held.get(b, np.zeros(0, np.uint64)) for b in range(len(languages))])
 
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = filters or learn(docs)
-    small_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     out = arrow_schema(schema)
     rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

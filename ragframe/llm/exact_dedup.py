@@ -77,20 +77,39 @@ def winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return saved(counted.filter("group_size > 1"), "winners")
 
 
-def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = saved(docs.select("doc_id", digest().alias("digest")), "digests")
+def _grouped(digests: DataFrame, counters: int) -> DataFrame:
+    """doc_id, digest, keep_id and group_size of every row of digests."""
     marked = digests.join(F.broadcast(winners(digests, counters)), "digest", "left")
     group = Window.partitionBy("digest")
     rest = marked.filter("group_size is null").select("doc_id", "digest", F.min("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
-    both = marked.filter("group_size is not null").select("doc_id", "digest", "keep_id", "group_size").unionByName(rest)
+    return marked.filter("group_size is not null").select("doc_id", "digest", "keep_id", "group_size").unionByName(rest)
+
+
+def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    digests = saved(docs.select("doc_id", digest().alias("digest")), "digests")
+    both = _grouped(digests, counters)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs, with all their columns, without copies: of equal texts one row stays."""
-    key, keep, size, place = (f"__{x}" for x in ("digest", "keep", "size", "place"))
+    """The rows of docs, with all their columns, without copies: of equal texts one row stays.
+
+    Copies are told on ids and digests.  Of the rows only those that repeat an id and a text that stay are
+    dealt with their texts, to leave one of each.
+    """
+    key, owner, fate, place = (f"__{x}" for x in ("digest", "id", "fate", "place"))
     digests = saved(docs.select("doc_id", digest().alias("digest")), "digests")
-    known = winners(digests, counters).toDF(key, keep, size)
-    left = docs.withColumn(key, digest()).join(F.broadcast(known), key, "left").filter(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
-    return left.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last()))).filter(F.col(place) == 1).select(*docs.columns)
+    groups = _grouped(digests, counters).filter("group_size > 1").groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.min("keep_id").alias("keep_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # a row here for each copy to drop and for each repeated row; most documents have none
+    told = groups.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(owner), F.col("digest").alias(key), F.when(stays, "once").otherwise("drop").alias(fate))
+    told = saved(told, "told").withColumnRenamed(key, f"{key}_told")
+    rows = docs.withColumn(key, digest())
+    rows = rows.join(told, (rows[key] == told[f"{key}_told"]) & rows["doc_id"].eqNullSafe(told[owner]), "left").filter(f"{fate} is null or {fate} = 'once'")
+    kept = rows.filter(F.col(fate).isNull()).select(*docs.columns)
+    if told.filter(F.col(fate) == "once").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(0)))
+    once = rows.filter(F.col(fate).isNotNull()).withColumn(place, first).filter(F.col(place) == 1)
+    return kept.unionByName(once.select(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_mod, mix, slices, small_batches, span_hashes, utf8, words
+from .common import arrow_schema, crc_mod, mix, slices, span_hashes, utf8, words
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -205,8 +205,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    small_batches(docs.sparkSession)
-    schema = "doc_id long, y double, x array<double>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, x array<double>"
     out = arrow_schema(schema)
 
     def run(batches):
@@ -215,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             for a, b in slices(offsets):
                 x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("y")[a:b], flat], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("y")[a:b], flat], schema=out)
 
     rows = labelled_sample(docs, labels, size).mapInArrow(run, schema).toPandas().sort_values(["doc_id", "y"], kind="stable")
     return fit(np.stack(rows.x.to_numpy()) if len(rows) else np.zeros((0, len(FEATURES))), rows.y.to_numpy())

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, mix, small_batches
+from .common import arrow_schema, mix
 
 SPACE = "▁"
 TEXTS = 500  # encoded at once
@@ -371,7 +371,6 @@ def decode_ids(path: str, ids) -> str:
 
 def encode(docs: DataFrame, path: str | None = None, algorithm: str = "auto", text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: the key and ids (array<int>)."""
-    small_batches(docs.sparkSession)
     path = path or default_model()
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>"
     out = arrow_schema(schema)
@@ -404,7 +403,6 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_pieces and ids_crc32 (the model's own segmentation), viterbi_pieces and
     viterbi_crc32 (the best sum of scores), exact: whether both decode to the text (null: empty)."""
-    small_batches(docs.sparkSession)
     path = path or default_model()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, viterbi_pieces long, viterbi_crc32 long, exact boolean"
     out = arrow_schema(schema)

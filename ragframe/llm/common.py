@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one Arrow batch may hold; texts are long, so the default of 10,000 is too many.
-ARROW_ROWS = 1000
+#: Bytes of an Arrow batch for Python.
+ARROW_BYTES = 1 << 21
 #: Bytes of text that one vectorised step works on at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -24,25 +24,106 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a run on one machine (as in tests) gets a folder of its own; a cluster is told to set it.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ragframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of batches for Python in this session; for applications (the queries and the pipeline), not operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    While it is written, batches for Python are of ARROW_BYTES at most; the session's own setting comes back.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, limit = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, ARROW_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a Python worker's memory doesn't depend on the longest texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+class IdFilter:
+    """Which ids may be among those given: a Bloom filter of two bits for each id.
+
+    It has 16 bits for each id, in MOST_BITS at most (32 MB): with ever more ids it lets ever more others
+    through, which costs time and never a result, since whoever uses it joins what it lets through anyway.
+    The bits are set by tasks, in blocks; the driver only puts the blocks side by side.
+    """
+
+    MOST_BITS, BLOCK = 1 << 28, 16
+
+    def __init__(self, ids: DataFrame, column: str):
+        size = min(self.MOST_BITS, max(1 << self.BLOCK, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+        mask, shift = size - 1, self.BLOCK
+        h = self.hashed(column)
+        slots = ids.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftright(h, 32).bitwiseAND(mask))).alias("slot"))
+        out = arrow_schema("block long, bits binary")
+
+        def run(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                slot = np.sort(batch.column("slot").to_numpy(zero_copy_only=False))
+                found, first = np.unique(slot >> shift, return_index=True)
+                for block, own in zip(found.tolist(), np.split(slot, first[1:]), strict=False):
+                    held.setdefault(block, np.zeros(1 << shift, bool))[own & ((1 << shift) - 1)] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())], schema=out)
+
+        self.bits, self.mask = np.zeros(size // 8, np.uint8), mask
+        width = (1 << shift) // 8
+        for r in slots.repartition(F.shiftright("slot", shift)).mapInArrow(run, "block long, bits binary").collect():  # at most 4,096 blocks
+            self.bits[r.block * width : (r.block + 1) * width] = np.frombuffer(r.bits, np.uint8)
+
+    @staticmethod
+    def hashed(column: str):
+        return F.xxhash64(column)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """For each hash whether its id may be one of those given."""
+        one, two = hashes & self.mask, (hashes >> 32) & self.mask
+        return ((self.bits[one >> 3] >> (one & 7)) & (self.bits[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def parted(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose id is certainly not in ids, and the others (those without id among them).
+
+    So only the others need be joined to ids: a table of long rows isn't dealt to drop a few of them.
+    """
+    known, out = IdFilter(ids, column), df.schema
+    rows = df.withColumn(unused(df, "__hash"), IdFilter.hashed(column)).withColumn(unused(df, "__none"), F.col(column).isNull())
+
+    def pick(other: bool):
+        def run(batches):
+            for batch in batches:
+                held = known.may_hold(batch.columns[-2].to_numpy(zero_copy_only=False)) | batch.columns[-1].to_numpy(zero_copy_only=False)
+                yield batch.select(batch.schema.names[:-2]).filter(pa.array(held == other))
+
+        return rows.mapInArrow(run, out)
+
+    return pick(False), pick(True)
 
 
 def partitions(spark: SparkSession) -> int:

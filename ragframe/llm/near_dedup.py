@@ -12,8 +12,9 @@ Candidates are compared without making all pairs of a bucket:
    decided on the full sets.  Links give components.
 2. Buckets that still hold several components are the rest.  In those of up to SMALL classes the pairs
    across components are compared as before.  Larger ones are joined to clusters, and the classes outside
-   a cluster's largest component are compared with all of its classes in blocks of BLOCK: a block pair is
-   one sparse product of set memberships, which yields a spanning forest of its links, not all of them.
+   a cluster's largest component are compared with all of its classes of nearly the same size, in blocks of
+   BLOCK: a block pair is one sparse product of set memberships, which yields a spanning forest of its
+   links, not all of them.
 
 Both steps are exact on the candidates: classes in one component needn't be compared again.  Then the
 components of all links follow by alternating large-star and small-star.
@@ -28,18 +29,20 @@ are ignored by `report` and kept by `drop_near_copies`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, lower_ascii, mix, saved, slices, small_batches, span_hashes, utf8, words
+from .common import IdFilter, arrow_schema, lower_ascii, mix, parted, saved, slices, span_hashes, utf8, words
 from .components import connected_components
 
 HASHES, MISS = 130, 1e-6
-SMALL, BLOCK = 64, 128
+SMALL, BLOCK, BLOCK_BYTES = 64, 512, 1 << 23
+CELL = ("size_a", "main_a", "block_a", "size_b", "main_b", "block_b")
 #: Standard deviations of a signature's estimate below the threshold at which a pair is dropped unseen.
 SIGMAS = 5.0
 _RNG = np.random.default_rng(20240101)
@@ -114,50 +117,64 @@ def _described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def _full(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """node, n, sig and the full set of each needed class, from the text of one of its documents."""
+    """node, n, sig and the full set of each needed class, from the text of one of its documents.
+
+    Texts are read once more, and an IdFilter drops the others where they are read; only sets are dealt.
+    """
     schema = "fp1 long, fp2 long, n long, sig binary, full binary"
     out = arrow_schema(schema)
-    docs = docs.select("doc_id", "text")
-    ids = saved(need.select("doc_id").filter("doc_id is not null").distinct().withColumn("one", F.lit(1)), "ids").filter("one > 0")
-    # before texts are dealt, Spark drops most of those that no bucket holds with a Bloom filter of the ids,
-    # as long as the ids are few enough for one; the predicate above is what makes it consider that
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16m")
-    few = docs.join(ids.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    ids = need.select("doc_id").filter("doc_id is not null").distinct()
+    known = IdFilter(ids, "doc_id")
 
     def run(batches):
-        for _, sets in _sets(batches, k):
-            prints = [_prints(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
+        for batch in batches:
+            keep = known.may_hold(batch.column("hash").to_numpy(zero_copy_only=False)) | batch.column("none").to_numpy(zero_copy_only=False)
+            for _, sets in _sets([batch.filter(pa.array(keep))], k):
+                prints = [_prints(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
 
-    # a document that occurs in several rows only repeats its links
-    return few.select("text").mapInArrow(run, schema).join(need.select("node", "fp1", "fp2"), ["fp1", "fp2"]).select("node", "n", "sig", "full")
+    found = docs.select(IdFilter.hashed("doc_id").alias("hash"), F.col("doc_id").isNull().alias("none"), "text").mapInArrow(run, schema)
+    return found.dropDuplicates(["fp1", "fp2"]).join(need.select("node", "fp1", "fp2"), ["fp1", "fp2"]).select("node", "n", "sig", "full")
+
+
+def _sides(pairs: DataFrame, full: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """pairs (u, v) with columns of full for both."""
+    for x in "uv":
+        pairs = pairs.join(full.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in own]), x)
+    return pairs
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar: signatures first, then the full sets."""
+    """The pairs (u, v) whose sets are similar: sizes and signatures first, then the full sets of those left."""
     t = percent / 100
     cut = (t - SIGMAS * (t * (1 - t) / HASHES) ** 0.5) * HASHES
-    sides = [full.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("full").alias(f"full_{x}")) for x in "uv"]
     near = (100 * F.col("n_u") >= percent * F.col("n_v")) & (100 * F.col("n_v") >= percent * F.col("n_u"))
-    both = pairs.join(sides[0], "u").join(sides[1], "v").filter(near).select("u", "v", "sig_u", "sig_v", "full_u", "full_v")
     out = arrow_schema("u long, v long")
 
-    def run(batches):
+    def kept(batch, columns, type_, test):
+        rows = zip(*[batch.column(c) for c in columns], strict=True)
+        keep = [i for i, (x, y) in enumerate(rows) if test(np.frombuffer(x.as_buffer(), type_), np.frombuffer(y.as_buffer(), type_))]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], schema=out)
+
+    def similar(a, b):
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+    def signed(batches):
+        for batch in batches:
+            yield kept(batch, ("sig_u", "sig_v"), np.uint32, lambda x, y: np.count_nonzero(x == y) >= cut)
+
+    def exact(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y, p, q) in enumerate(zip(*[batch.column(c) for c in ("sig_u", "sig_v", "full_u", "full_v")], strict=True)):
-                if np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)) >= cut:
-                    a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * shared >= percent * (len(a) + len(b) - shared):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], schema=out)
+            yield kept(batch, ("full_u", "full_v"), np.uint64, similar)
 
-    return both.mapInArrow(run, "u long, v long")
+    few = _sides(pairs, full, ("n", "sig")).filter(near).select("u", "v", "sig_u", "sig_v").mapInArrow(signed, "u long, v long")
+    return _sides(saved(few, "likely"), full, ("full",)).select("u", "v", "full_u", "full_v").mapInArrow(exact, "u long, v long")
 
 
-def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
-    """The matrix of which sets of a and b are similar, by products of membership matrices `width` hashes wide."""
+def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix of which sets of a and b are similar, by products of membership matrices of 32 MB or less."""
+    width = max(256, min(4096, (1 << 23) // max(1, len(a) + len(b))))
     sizes = [np.array([len(s) for s in x], np.int64) for x in (a, b)]
     values = np.concatenate([*a, *b]) if len(a) + len(b) else np.zeros(0, np.uint64)
     rows = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))
@@ -194,54 +211,75 @@ def _forest(u: np.ndarray, v: np.ndarray, comp: dict) -> list[tuple[int, int]]:
 
 
 def _in_blocks(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) across components within clusters; members: (cluster, node, comp)."""
+    """Links (u, v) across components within clusters; members: (cluster, node, comp).
+
+    Sets are dealt by classes of size so that similar ones are in the same class or in neighbouring ones, and
+    within a class by blocks of BLOCK sets or BLOCK_BYTES.  A cell is a pair of blocks that may hold links.
+    """
     sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    best = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).filter("top.n < all")
-    best = best.select("cluster", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"))
-    rows = members.join(best, "cluster")
-    outer, salt = F.col("comp") != F.col("main"), F.xxhash64("node")
-    block = F.when(outer, F.pmod(salt, "others")).otherwise(F.col("others") + F.pmod(salt, "mains")).cast("int")
-    # the main component's blocks meet the others' only
-    partner = F.explode(F.sequence(F.lit(0), F.when(outer, F.col("others") + F.col("mains") - 1).otherwise(F.col("others") - 1)))
-    dealt = rows.withColumn("block", block).withColumn("partner", partner).select("cluster", "node", "comp", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block")
-
-    def run(_, group: pd.DataFrame) -> pd.DataFrame:
-        a = group[group.block == group.i]
-        b = group[group.block == group.j]
+    best = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).filter("top.n < all").select("cluster", F.col("top.comp").alias("main"))
+    step = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    rows = members.join(best, "cluster").join(full.select("node", "n"), "node")
+    rows = saved(rows.select("cluster", "node", "comp", (F.col("comp") == F.col("main")).alias("main"), F.floor(F.log("n") / step).alias("size"), "n"), "rows")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES)).cast("int").alias("blocks")
+    units = saved(rows.groupBy("cluster", "main", "size").agg(count), "units")
+    rows = rows.join(units, ["cluster", "main", "size"]).select("cluster", "main", "size", "node", "comp", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    # a few units for each cluster, each with those of its own size and the next; two blocks of the main component have no links to tell
+    one, two = (units.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("main", "size", "blocks")], F.explode(F.expr(shift)).alias("size")) for x, shift in (("a", "array(size, size + 1)"), ("b", "array(size)")))
+    ordered = "not (main_a and main_b) and (size_a < size_b or main_a <= main_b)"
+    each = lambda x: F.explode(F.expr(f"sequence(0, blocks_{x} - 1)")).alias(f"block_{x}")
+    cells = one.join(two, ["cluster", "size"]).filter(ordered).select("*", each("a")).select("*", each("b"))
+    cells = saved(cells.filter("size_a < size_b or main_a <> main_b or block_a <= block_b").select("cluster", *CELL), "cells")
+    sides = []
+    for x in "ab":
+        own = cells.select("*", *[F.col(f"{c}_{x}").alias(c) for c in ("main", "size", "block")])
+        if x == "b":  # a block that meets itself is dealt once
+            own = own.filter("not (size_a = size_b and main_a = main_b and block_a = block_b)")
+        sides.append(rows.join(own, ["cluster", "main", "size", "block"]).select("cluster", *CELL, "node", "comp", F.lit(x).alias("side")))
+
+    def run(_, group):
+        import pandas as pd  # here, so that the other workers don't hold it
+
+        a, b = (group[group.side == x] for x in "ab")
+        b = b if len(b) else a
         sets = [[np.frombuffer(x, np.uint64) for x in g.full] for g in (a, b)]
-        x, y = np.nonzero(block_links(*sets, percent)) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
+        x, y = np.nonzero(block_links(*sets, percent))
         links = _forest(a.node.to_numpy()[x], b.node.to_numpy()[y], dict(zip(group.node, group.comp, strict=True)))
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    return dealt.join(full.select("node", "full"), "node").groupBy("cluster", "i", "j").applyInPandas(run, "u long, v long")
+    return sides[0].unionByName(sides[1]).join(full.select("node", "full"), "node").groupBy("cluster", *CELL).applyInPandas(run, "u long, v long")
 
 
 def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Enough verified links (u, v) between classes to connect whatever is connected."""
+    """Enough verified links (u, v) between classes to connect whatever is connected.
+
+    What is known of a bucket is written before it is joined to the bucket's members, and the joined rows
+    before they are counted again, so that each such join stands alone and adaptive execution can split it.
+    """
     nodes = rows.join(classes.select("node"), rows.uid == classes.node, "left_semi")
     buckets = saved(nodes.select(F.col("uid").alias("node"), F.explode("buckets").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     held = saved(buckets.join(shared, "bucket"), "shared")
-    degree = held.groupBy("node").agg(F.sum("size").alias("degree"))
+    degree = saved(held.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     held = saved(held.join(degree, "node"), "members")
-    # the class that meets most others; of equals the smallest: one number, so that the aggregate stays a hash aggregate
-    top = held.groupBy("bucket").agg(F.max("degree").alias("degree"))
-    pivots = held.join(top, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("pivot"))
+    # the class that meets most others
+    order = F.col("degree") * 4096 + F.pmod(F.xxhash64("node"), F.lit(4096))
+    pivots = saved(held.groupBy("bucket").agg(F.max_by("node", order).alias("pivot")), "pivots")
     star = saved(held.join(pivots, "bucket").filter("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), "star")
     need = rows.select(F.col("uid").alias("node"), "doc_id", "fp1", "fp2").join(degree.select("node"), "node", "left_semi")
     full = saved(_full(docs, saved(need, "need"), k), "full")
     first = saved(_verified(star, full, percent), "links")
 
     comps = saved(connected_components(first), "components")
-    told = held.join(comps, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
+    told = saved(held.join(comps, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("comp")), "told")
+    mixed = saved(told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket"), "mixed")
     rest = saved(told.join(mixed, "bucket"), "rest")
     few = rest.filter(F.col("size") <= SMALL).select("bucket", "node", "comp")
     pairs = few.alias("a").join(few.alias("b"), "bucket").filter("a.node > b.node and a.comp <> b.comp").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    second = _verified(pairs.join(star, ["u", "v"], "left_anti"), full, percent)
+    second = _verified(saved(pairs.join(star, ["u", "v"], "left_anti"), "pairs"), full, percent)
 
     many = rest.filter(F.col("size") > SMALL)
-    hub = many.groupBy("bucket").agg(F.min("node").alias("hub"))
+    hub = saved(many.groupBy("bucket").agg(F.min("node").alias("hub")), "hubs")
     clusters = connected_components(many.join(hub, "bucket").select(F.col("node").alias("u"), F.col("hub").alias("v")))
     members = saved(many.select("node", "comp").distinct().join(clusters, "node").select(F.col("root").alias("cluster"), "node", "comp"), "clusters")
     third = _in_blocks(members, full, percent)
@@ -250,7 +288,6 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent
 
 def report(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
     bands, width = banding(percent)
     rows = saved(_described(docs, k, bands, width), "described")
     classes = saved(rows.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("label"), F.min("uid").alias("node")), "classes")
@@ -268,4 +305,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     found = saved(report(docs, k, percent), "report")
     gone = found.filter("not kept").select("doc_id").distinct()
     gone = saved(gone.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    clear, rest = parted(docs, gone.filter("doc_id is not null"), "doc_id")
+    return clear.unionByName(rest.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import parted, saved
 
 #: Counters of a summary: digests in more than 1 / (COUNTERS + 1) of the rows are found for sure.
 COUNTERS = 1024
@@ -95,21 +95,19 @@ def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs, with all their columns, without copies: of equal texts one row stays.
 
-    Copies are told on ids and digests.  Of the rows only those that repeat an id and a text that stay are
-    dealt with their texts, to leave one of each.
+    Copies are told on ids and digests.  Only rows whose id may be that of a copy are dealt with their texts.
     """
-    key, owner, fate, place = (f"__{x}" for x in ("digest", "id", "fate", "place"))
     digests = saved(docs.select("doc_id", digest().alias("digest")), "digests")
     groups = _grouped(digests, counters).filter("group_size > 1").groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.min("keep_id").alias("keep_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # a row here for each copy to drop and for each repeated row; most documents have none
-    told = groups.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(owner), F.col("digest").alias(key), F.when(stays, "once").otherwise("drop").alias(fate))
-    told = saved(told, "told").withColumnRenamed(key, f"{key}_told")
-    rows = docs.withColumn(key, digest())
-    rows = rows.join(told, (rows[key] == told[f"{key}_told"]) & rows["doc_id"].eqNullSafe(told[owner]), "left").filter(f"{fate} is null or {fate} = 'once'")
-    kept = rows.filter(F.col(fate).isNull()).select(*docs.columns)
-    if told.filter(F.col(fate) == "once").isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(0)))
-    once = rows.filter(F.col(fate).isNotNull()).withColumn(place, first).filter(F.col(place) == 1)
-    return kept.unionByName(once.select(*docs.columns))
+    told = groups.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("owner"), F.col("digest").alias("told"), F.when(stays, "once").otherwise("drop").alias("fate"))
+    told = saved(told, "told")
+    clear, rest = parted(docs, told.select(F.col("owner").alias("doc_id")).filter("doc_id is not null").distinct(), "doc_id")
+    # a row as one column, so that its names can't clash
+    rows = rest.select("doc_id", digest().alias("digest"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(told, (F.col("digest") == F.col("told")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left").filter("fate is null or fate = 'once'")
+    # `once` takes one row of each key; the others are each a key of their own
+    rows = rows.withColumn("single", F.when(F.col("fate").isNull(), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy("digest", "doc_id", "single").orderBy("single"))
+    return clear.unionByName(rows.withColumn("place", first).filter("place = 1").select("row.*"))

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from . import ann, exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, sentencepieces, warc
-from .common import table
+from .common import small_batches
+from .common import table as read_table
+
+
+def table(spark, sf_dir, name):
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def op1_secrets(spark, sf_dir):

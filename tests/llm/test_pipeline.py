@@ -13,6 +13,35 @@ from .test_llm import brute_components, brute_spans
 SF = "/root/testdata/sf0.001"
 
 
+def test_edges(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns and an empty table, stage by stage."""
+    long = " ".join(f"w{i % 977}" for i in range(20000))
+    texts = [None, "", " ", "a b", "a  b", "a b", long, long + " z", "token = abcdefgh12345678 end of it all", None]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, fate string, __hash string, __spans string, n long, component_id long"
+    rows = [(i if i != 9 else None, t, None, "s", len(t or ""), "x", "w", "y", 1, 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[3:4] + rows[6:7], columns).repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for own in (docs, docs.limit(0)):
+        kept = own
+        for name, stage in corpus_pipeline.STAGES:
+            kept = saved(stage(spark, kept, str(tmp_path)), name)
+            got = kept.collect()
+            if name != "packing":
+                assert kept.columns == docs.columns
+            if own is docs and name == "quality":
+                assert len(got) == 12
+            elif own is docs and name == "exact_dedup":
+                assert sorted(r.doc_id for r in got) == [0, 2, 3, 6, 7, 8]
+            elif own is docs and name == "near_dedup":
+                assert sorted(r.doc_id for r in got) == [0, 2, 3, 6, 8] and next(r for r in got if r.doc_id == 0).text is None
+            elif own is docs and name == "secrets":
+                assert next(r for r in got if r.doc_id == 8).text == "[secret] end of it all"
+            elif own is docs:
+                assert {r.doc_id for r in got} == {0, 2, 3, 6, 8}
+            else:
+                assert not got
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, {}

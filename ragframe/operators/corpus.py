@@ -125,6 +125,35 @@ def summary(docs: DataFrame, group: str, chars: Column) -> DataFrame:
     return docs.withColumn("__n", chars).rollup(group).agg(F.count("*").alias("docs"), F.sum("__n").alias("chars"), mean.cast("long").alias("mean_chars"), F.grouping(group).cast("int").alias("is_total"))
 
 
+def missing_categories(docs: DataFrame, expected=fixed.EXPECTED_CATEGORIES, category: str = "category") -> DataFrame:
+    """The expected categories that no document has."""
+    wanted = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias("category"))
+    return wanted.join(docs.select(F.col(category).alias("category")).distinct(), "category", "left_anti")
+
+
+def missing_urls(docs: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected (fragment, label) with the number of distinct urls that hold the fragment, as it is spelled there."""
+    urls = docs.select("url").filter(F.col("url").isNotNull()).distinct()
+    hits = urls.join(F.broadcast(expected), F.contains(urls.url, expected.fragment)).groupBy("fragment").agg(F.count("*").alias("n"))  # a list made by hand
+    return expected.join(hits, "fragment", "left").select("fragment", "label", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+
+
+def without_index_pages(docs: DataFrame, ending: str = "/horarios") -> DataFrame:
+    """Without the HTML pages whose url ends so: they only list links."""
+    return docs.filter(~((F.col("source_type") == "html") & F.endswith(F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), "/+$", ""), F.lit(ending))))
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Docs (url, title, ...) whose title is the label configured for their url (url, label), where there is one."""
+    own = labels.filter("label is not null").groupBy("url").agg(F.min("label").alias("__label"))
+    return docs.join(own, "url", "left").withColumn("title", title(F.col("__label"), F.col("title"), F.col("url"))).select(*docs.columns)
+
+
+def extra_documents(docs: DataFrame, extra: DataFrame, excluded: Column) -> DataFrame:
+    """Docs with the extra ones (with category and label as configured) that the global exclusions leave; no other filter applies."""
+    return docs.unionByName(extra.filter(~F.coalesce(excluded, F.lit(False))).select(*docs.columns))
+
+
 def extremes(docs: DataFrame, size: Column, order: str, n: int = 5, longest: bool = True) -> DataFrame:
     """F8: the n longest or shortest documents, ties to the smaller id."""
     key = F.col("__size").desc() if longest else F.col("__size").asc()

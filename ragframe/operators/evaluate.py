@@ -65,3 +65,12 @@ def baseline_summary(scores: DataFrame) -> DataFrame:
     noinfo = F.col("type") == "no_info"
     yes = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return scores.agg(F.count("*").alias("n"), percent(yes(F.col("answer_correct")), F.count("*")).alias("answer_accuracy"), percent(yes(noinfo & ~F.col("refused")), yes(noinfo)).alias("hallucination_rate"))
+
+
+def ragas_results(evaluated: DataFrame, scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """Id, type and each metric of the evaluated questions (id, type), in which NaN becomes null and a missing score too.
+
+    The judge's rows come by id, where the survey's come by position.
+    """
+    held = [F.when(~F.isnan(m), F.col(m)).alias(m) if m in scores.columns else F.lit(None).cast("double").alias(m) for m in metrics]
+    return evaluated.select("id", "type").join(scores.select("id", *held), "id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragframe.sources import timetable, web
+from ragframe.sources import store, timetable, web
 
 from .registry import query, table
 
@@ -74,11 +74,8 @@ def crawl_bfs(spark, sf_dir):
     n = pages.count()
     name = lambda c: F.concat(F.lit("https://s.es/"), c.cast("string"))
     edges = pages.select(name(F.col("page_id")).alias("url"), F.explode(F.array(*[name((F.col("page_id") * k + 1) % n) for k in (2, 3)])).alias("link")).distinct()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragframe-"))
-    return web.crawl(spark.createDataFrame([("https://s.es/0",)], "url string"), edges, lambda u: ~F.endswith(u, F.lit("5")), 3)
+    keep = lambda d: store.materialised(d, "crawl")
+    return web.crawl(spark.createDataFrame([("https://s.es/0",)], "url string"), edges, lambda u: ~F.endswith(u, F.lit("5")), 3, keep)
 
 
 @query(r"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,29 @@ CORPUS = "url string, title string, category string, source_type string, text st
 EVAL_SET = "id string, query string, category string, type string, expected_sources array<string>, expected_keywords array<string>, should_refuse boolean"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own for a run on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="ragframe-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The corpus's JSON lines; a bad line fails the job, or ends up in _corrupt_record."""
     if strict:
@@ -46,6 +72,7 @@ def review_rows(docs: DataFrame, order: str, text: Column, *columns: str, width:
     range's number starts after those before it.
     """
     ranged = docs.select(order, *columns, preview(text, width).alias("preview")).repartitionByRange(order).withColumn("__range", F.spark_partition_id())
+    ranged = materialised(ranged, "review")  # ranges come from a sample: both uses must see the same ones
     counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row for each range
     place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
@@ -73,6 +100,39 @@ def save_vectors(chunks: DataFrame, path: str) -> None:
     chunks.drop("vector").write.mode("overwrite").parquet(f"{path}/chunks")
 
 
+def append_vectors(chunks: DataFrame, path: str) -> int:
+    """Incremental indexing: adds the chunks whose chunk_id the index lacks, and returns how many; a batch counts an id once."""
+    spark = chunks.sparkSession
+    fresh = materialised(chunks.dropDuplicates(["chunk_id"]).join(spark.read.parquet(f"{path}/chunks").select("chunk_id"), "chunk_id", "left_anti").select(*chunks.columns), "fresh")
+    fresh.select("chunk_id", "vector").write.mode("append").parquet(f"{path}/vectors")
+    fresh.drop("vector").write.mode("append").parquet(f"{path}/chunks")
+    return fresh.count()
+
+
+def index_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks, dimension and bytes of the vectors of a saved index; one row."""
+    return spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("chunks"), F.max(F.size("vector")).alias("dimension"), F.sum(4 * F.size("vector")).alias("vector_bytes"))
+
+
+def remove_versioned(docs: DataFrame, doomed: Column, path: str, version: str) -> DataFrame:
+    """The corpus without the doomed rows, as a new version beside a backup of the removed ones; returns the version."""
+    gone = F.coalesce(doomed, F.lit(False))
+    docs.filter(gone).write.mode("overwrite").parquet(f"{path}/{version}-removed")
+    docs.filter(~gone).write.mode("overwrite").parquet(f"{path}/{version}")
+    return docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/{version}")
+
+
+def append_manifest(level: DataFrame, path: str) -> None:
+    """A level's rows (url, status, category, type, bytes, depth) with the time, added to the crawl's manifest."""
+    level.withColumn("timestamp", F.current_timestamp()).write.mode("append").json(path)
+
+
+def report_lines(manifest: DataFrame) -> DataFrame:
+    """A crawl's report, a line for each status and for each category of what was fetched; write it with the text sink."""
+    by = lambda column, name, rows: rows.groupBy(column).agg(F.count("*").alias("n")).select(F.concat(F.lit(name), F.coalesce(F.col(column), F.lit("-")), F.lit(": "), F.col("n").cast("string")).alias("line"))
+    return by("status", "status ", manifest).unionByName(by("category", "category ", manifest.filter("status = 'ok'")))
+
+
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").join(spark.read.parquet(f"{path}/vectors"), "chunk_id")
 
@@ -100,6 +160,16 @@ def events(rows: DataFrame, module: str, event: str, at: Column, *fields: str) -
     return rows.select(at.alias("timestamp"), F.lit("INFO").alias("level"), F.lit(module).alias("module"), F.lit(event).alias("event"), F.to_json(F.struct(*fields)).alias("extras"))
 
 
+def export_ragas(rows: DataFrame, path: str) -> None:
+    """One JSON line for each question, with what was retrieved and answered."""
+    rows.select("id", "type", F.coalesce("should_refuse", F.lit(False)).alias("should_refuse"), "refused", F.col("query").alias("user_input"), F.col("answer").alias("response"), "retrieved_contexts", F.coalesce("expected_keywords", F.array().cast("array<string>")).alias("expected_keywords")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_ragas(spark: SparkSession, path: str) -> DataFrame:
+    """The exported lines again."""
+    return spark.read.schema("id string, type string, should_refuse boolean, refused boolean, user_input string, response string, retrieved_contexts array<string>, expected_keywords array<string>").json(path)
+
+
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """A28."""
     return spark.read.schema(EVAL_SET).json(path)

@@ -34,4 +34,5 @@ def test_same_rows_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    first, again = (sorted(map(str, QUERIES[name](spark, SF).collect())) for _ in range(2))
+    assert first and (first == again or name == "history_enrichment")  # its closings are drawn at random

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ragframe.functions import fixed
 from ragframe.functions.text import bm25_tokens
 
 
 class Bm25Index:
-    """An inverted index in DataFrames: postings (term, id, tf), lengths (id, dl), terms (term, df, idf) and totals."""
+    """An inverted index in DataFrames: postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and totals."""
 
     def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, totals: DataFrame):
         self.postings, self.lengths, self.terms, self.totals = postings, lengths, terms, totals
 
 
-def bm25_index(docs: DataFrame, key: str, text: Column) -> Bm25Index:
+def _count_terms(schema: pa.Schema):
+    """Rows (id, tokens) as rows (term, id, tf, dl): a row for each distinct token, and one without term for the text."""
+
+    def run(batches):
+        for batch in batches:
+            ids, tokens = batch.column("id"), batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            words = max(1, len(coded.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(ids)), sizes) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = np.concatenate((key // words, np.arange(len(ids))))
+            term = pa.concat_arrays([coded.dictionary.take(pa.array(key % words)), pa.nulls(len(ids), coded.dictionary.type)])
+            columns = [term, ids.take(pa.array(row)), pa.array(np.concatenate((tf, np.zeros(len(ids), np.int64)))), pa.array(sizes[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def bm25_index(docs: DataFrame, key: str, text: Column, keep: Callable[[DataFrame], DataFrame] | None = None) -> Bm25Index:
     """K4: statistics of a corpus; idf below zero becomes a share of the mean idf over the vocabulary.
 
-    Tokens are exploded once; counts by (term, id) are partial aggregates, so a frequent term is no task's burden.
+    A text's tokens are counted in its own batch, so postings need no shuffle; document frequencies are partial
+    aggregates, of which a partition deals one row a term.  keep writes the counted rows and reads them back, so
+    that texts are cut into tokens once.
     """
     tokens = docs.select(F.col(key).alias("id"), bm25_tokens(text).alias("tokens"))
-    lengths = tokens.select("id", F.size("tokens").alias("dl"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    out = T.StructType([T.StructField("term", T.StringType()), tokens.schema["id"], T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    rows = tokens.mapInArrow(_count_terms(to_arrow_schema(out)), out)
+    rows = keep(rows) if keep else rows
+    lengths = rows.filter("term is null").select("id", "dl")
+    postings = rows.filter("term is not null")
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = counts.join(F.broadcast(size), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
@@ -34,13 +63,21 @@ def bm25_index(docs: DataFrame, key: str, text: Column) -> Bm25Index:
     return Bm25Index(postings, lengths, terms, size)
 
 
+#: Query terms (rows of query and term) that are sent to every executor: some 10 MB; more are joined by shuffling.
+MOST_BROADCAST_TERMS = 200_000
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, query: str, text: Column, k: int) -> DataFrame:
     """query, id, score, rank of the k best positive scores of each query; ties to the smaller id.
 
-    Only the postings of query terms are joined; repeated query terms count again.
+    Only the postings of query terms are joined; repeated query terms count again.  The queries' terms are
+    counted first: where they are few, postings meet them where they are and only hits are shuffled.
     """
     asked = queries.select(F.col(query).alias("query"), F.explode(bm25_tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    hits = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, "id").join(F.broadcast(index.totals), how="cross")  # one row
+    weighted = asked.join(index.terms.select("term", "idf"), "term")
+    if asked.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
+        weighted = F.broadcast(index.terms.select("term", "idf").join(F.broadcast(asked), "term"))
+    hits = index.postings.join(weighted, "term").join(F.broadcast(index.totals), how="cross")  # one row
     k1, b = F.lit(fixed.BM25_K1), F.lit(fixed.BM25_B)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
@@ -64,48 +101,52 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-#: Queries of a block of the dense search; their matrix is what a task holds besides its batch.
-QUERY_BLOCK = 1024
+#: Rows of a block of queries and of a block of vectors; a pair of blocks is what a task holds.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _blocks(rows: DataFrame, by: str | None, size: int, prefix: str) -> DataFrame:
+    """Rows (id, v, by) as blocks of at most `size` rows of one value of by: ids and a matrix, as bytes."""
+
+    def run(batches):
+        for x in batches:
+            for value, part in x.groupby("__by", sort=False, dropna=False):
+                for a in range(0, len(part), size):
+                    piece = part.iloc[a : a + size]
+                    yield pd.DataFrame({"__by": [value], f"{prefix}_ids": [piece.id.to_numpy(np.int64).tobytes()], f"{prefix}_rows": [np.stack(piece.v.to_numpy()).astype(float).tobytes()]})
+
+    rows = rows.select("id", "v", (F.col(by).cast("string") if by else F.lit("")).alias("__by")).filter("id is not null and v is not null and __by is not null")
+    return rows.mapInPandas(run, f"__by string, {prefix}_ids binary, {prefix}_rows binary")
 
 
-def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, exclude_self: bool = False, by: str | None = None) -> DataFrame:
     """Query, id, score, rank of the k largest inner products, exactly, for a stated set of queries.
 
-    The queries go to the executors in blocks of QUERY_BLOCK rows (a known size); each batch of vectors meets
-    a block in one matrix product and keeps its k best, and the best of all batches are ranked at the end.
+    Both sides are packed into blocks where they lie; every pair of blocks is one matrix product that keeps
+    the k best of each query, and the best of all blocks are ranked at the end.  The vectors are scanned once,
+    nothing comes to the driver.  With by (a column of both sides), only pairs of equal values count.
     """
-    spark = vectors.sparkSession
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("v")).orderBy("query").toLocalIterator()
-    out, block = None, []
-
-    def scored(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches):
-            for x in batches:
-                if not len(x):
-                    continue
-                own, scores = x[key].to_numpy(), np.stack(x[vector].to_numpy()).astype(float) @ matrix.T
-                rows = []
-                for j, q in enumerate(ids):
-                    s = np.round(scores[:, j], 6)
-                    keep = np.flatnonzero(own != q) if exclude_self else np.arange(len(own))
-                    best = keep[np.lexsort((own[keep], -s[keep]))[:k]]
-                    rows.append(pd.DataFrame({"query": q, "id": own[best], "score": s[best]}))
-                yield pd.concat(rows)
-
-        return vectors.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(run, "query long, id long, score double")
-
-    def flush() -> None:
-        nonlocal out, block
-        if block:
-            part = scored(np.array([r["query"] for r in block]), np.array([r.v for r in block], float))
-            out, block = part if out is None else out.unionByName(part), []
-
-    for row in asked:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    return ranked(out if out is not None else spark.createDataFrame([], "query long, id long, score double"), "query", k)
+    own = [by] if by else []
+    asked = _blocks(queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), *own), by, QUERY_BLOCK, "q")
+    held = _blocks(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), *own), by, VECTOR_BLOCK, "v")
+
+    def scored(batches):
+        for batch in batches:
+            for q_ids, q_rows, v_ids, v_rows in zip(batch.q_ids, batch.q_rows, batch.v_ids, batch.v_rows, strict=True):
+                asked_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(v_ids, np.int64)
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                scores = np.round(np.frombuffer(q_rows).reshape(len(asked_ids), -1) @ np.frombuffer(v_rows).reshape(len(ids), -1)[order].T, 6)
+                if exclude_self:
+                    scores[asked_ids[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
+                found = np.take_along_axis(scores, best, axis=1)
+                seen = np.isfinite(found)
+                yield pd.DataFrame({"query": np.repeat(asked_ids, seen.sum(axis=1)), "id": ids[best][seen], "score": found[seen]})
+
+    pairs = held.join(asked, "__by") if by else held.drop("__by").crossJoin(asked.drop("__by"))  # a stated query set, in blocks
+    found = pairs.select("q_ids", "q_rows", "v_ids", "v_rows").mapInPandas(scored, "query long, id long, score double")
+    return ranked(found, "query", k)
 
 
 def rrf(rankings: DataFrame, k: int = fixed.RRF_K) -> DataFrame:

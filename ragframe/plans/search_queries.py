@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragframe import seams
 from ragframe.operators import retrieve as r
 from ragframe.operators import search
+from ragframe.sources import store
 
 from .registry import query, table
 
@@ -21,10 +22,14 @@ terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (S
 """
 
 
+def _index(spark, sf_dir):
+    return search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), lambda d: store.materialised(d, "postings"))
+
+
 @query(f"{_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, sf_dir):
     """D1."""
-    index = search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    index = _index(spark, sf_dir)
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -36,8 +41,7 @@ SELECT * FROM (SELECT query, id, score, CAST(row_number() OVER (PARTITION BY que
 """)
 def bm25_topk(spark, sf_dir):
     """The ten best documents for each benchmark text."""
-    index = search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return search.bm25_search(index, table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 10)
+    return search.bm25_search(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 10)
 
 
 _V = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0)"
@@ -69,7 +73,7 @@ def knn_threshold(spark, sf_dir):
     return _dense(spark, sf_dir, 50).filter(F.col("score") >= 0.35 * 0.7).select("query", "id", "score")
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])), 6) AS norm, [round(x / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])), 6) FOR x IN embedding][1] AS first FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])), 6) AS norm, [round(x / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])), 6) FOR x IN embedding] AS unit FROM embeddings")
 def vector_norms(spark, sf_dir):
     """H33, H34."""
     v = F.col("embedding")

@@ -32,6 +32,7 @@ class Config:
     hybrid: bool = True
     reranker: object = seams.lexical_score
     penalty: float = fixed.OFF_CATEGORY_PENALTY
+    keep: object = None  # writes a DataFrame and reads it back, for what several steps read
 
 
 def understood(queries: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFra
     dense = knn(chunks, "chunk_id", "vector", asked, config.k_candidates)
     if not config.hybrid:
         return dense.select("query", "id", "score")
-    index = bm25_index(chunks, "chunk_id", F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.col("text")))
+    index = bm25_index(chunks, "chunk_id", F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.col("text")), config.keep)
     lexical = bm25_search(index, queries, "query_id", F.col("text"), config.k_candidates)
     fused = rrf(dense.select("query", "id", "rank").unionByName(lexical.select("query", "id", "rank")), config.rrf_k).filter(F.col("rank") <= config.k_candidates)
     vectors = chunks.select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"))
@@ -76,6 +77,8 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFra
 def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, source_url, title, position, text, category; queries without hits are absent."""
     config = config or Config()
+    if config.keep:  # vectors come from a model: no step computes them again
+        queries, chunks = config.keep(queries), config.keep(chunks)
     told = understood(queries)
     meta = chunks.select(F.col("chunk_id").alias("id"), "text", "title", "source_url", "position", "category", "tipo", "siglas", F.coalesce("is_summary", F.lit(False)).alias("is_summary"), "curso", "vector")
     pool = candidates(queries, chunks, config)
@@ -83,10 +86,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     k = F.when(F.col("listing"), config.k_listing).otherwise(config.k_final)
 
     # routed categories add their best chunks
-    wanted = about.select("query", "q", k.alias("k"), F.explode(F.map_keys("route.categories")).alias("category"))
-    more = meta.select("id", "category", "vector").join(wanted, "category").join(pool.select("query", "id"), ["query", "id"], "left_anti")
-    more = more.select("query", "id", "k", inner("vector", "q").alias("score"))
-    more = ranked(more, "query").filter(F.col("rank") <= 2 * F.col("k")).select("query", "id", "score")
+    # beyond the pool's own, which are k_candidates at most, no more than twice the final number is taken
+    wanted = about.select(F.col("query").alias("id"), F.col("q").alias("vector"), F.explode(F.map_keys("route.categories")).alias("category"))
+    more = knn(meta.select("id", "category", "vector"), "id", "vector", wanted, config.k_candidates + 2 * max(config.k_listing, config.k_final), by="category")
+    more = ranked(more.drop("rank").join(pool.select("query", "id"), ["query", "id"], "left_anti"), "query").join(about.select("query", k.alias("k")), "query")
+    more = more.filter(F.col("rank") <= 2 * F.col("k")).select("query", "id", "score")
     rows = pool.unionByName(more).join(meta, "id").join(about, "query")
     routed = F.size("route.categories") > 0
     boost = F.coalesce(F.element_at("route.categories", F.col("category")), F.lit(1.0))  # C5
@@ -100,7 +104,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     # listings get the summaries they are about, whatever their score
     fits = (~routed | F.map_contains_key("route.categories", F.coalesce("category", F.lit("")))) & (F.col("course").isNull() | F.col("curso").isNull() | (F.col("curso") == F.col("course")))
     listing = F.col("listing") & F.col("about_subjects")
-    summaries = meta.filter("is_summary").join(about.filter(listing), fits).join(rows.select("query", "id"), ["query", "id"], "left_anti")
+    # joined on a routed category, or on "" where nothing is routed and every category fits
+    keys = F.when(routed, F.map_keys("route.categories")).otherwise(F.array(F.lit("")))
+    held = meta.filter("is_summary").withColumn("__key", F.explode(F.array_distinct(F.array(F.coalesce("category", F.lit("")), F.lit("")))))
+    summaries = held.join(about.filter(listing).withColumn("__key", F.explode(keys)), "__key").filter(fits).drop("__key")
+    summaries = summaries.join(rows.select("query", "id"), ["query", "id"], "left_anti")
     summaries = summaries.withColumn("score", inner("vector", "q"))
     rows = rows.unionByName(summaries.select(*rows.columns))
     floor = config.threshold * (fixed.HYBRID_FACTOR if config.hybrid else 1.0)

@@ -13,17 +13,29 @@ from ragframe.operators import answers, dialogue
 
 from .registry import query, table
 
-#: Questions for the rule-based operators; the tables hold invented words, on which no rule fires.
+#: Questions for the rule-based operators, put before every turn of the conversations, in whose invented words no rule fires.
 QUESTIONS = (
     "¿Qué asignaturas hay en tercer curso?", "¿Cuándo es el examen de IA?", "clases de DI", "plazo de entrega del TFG", "horario de la secretaría", "horarios de clase de Cálculo", "beca erasmus", "normativa de permanencia",
     "prácticas en empresa", "guía docente de Estructura de Datos", "¿Quién eres?", "y el grupo 1ºD?", "¿en qué aula es Derecho Informático?", "lista de optativas", "hola", "todos los grupos de primero",
 )
-_VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
-_Q = f"WITH q AS (SELECT * FROM (VALUES {_VALUES}) v(id, text))"
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, text string")
+def _spread(phrases, name: str) -> str:
+    """The SQL of _phrased."""
+    return f"WITH {name} AS (SELECT conv_id, turn, [{', '.join(f"'{p}'" for p in phrases)}][(conv_id * 7 + turn) % {len(phrases)} + 1] || ' ' || coalesce(text, '') AS text FROM conversations)"
+
+
+def _phrased(spark, sf_dir, phrases):
+    """conv_id, turn, text of all turns of the conversations, each with one of the phrases before its own text."""
+    phrase = F.get(F.array(*[F.lit(p) for p in phrases]), ((F.col("conv_id") * 7 + F.col("turn")) % len(phrases)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+_Q = _spread(QUESTIONS, "q")
+
+
+def _questions(spark, sf_dir):
+    return _phrased(spark, sf_dir, QUESTIONS)
 
 
 def _re2(pattern: str) -> str:
@@ -35,16 +47,16 @@ _ROUTES = [(name, p, boosts) for name, p, boosts in fixed.ROUTES if "(?!" not in
 _FIRED = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_re2(p)}') THEN '{name}' END" for name, p, _ in _ROUTES)
 
 
-@query(f"{_Q} SELECT id, array_to_string(list_filter([{_FIRED}], lambda x: x IS NOT NULL), ',') AS rules FROM q")
+@query(f"{_Q} SELECT conv_id, turn, array_to_string(list_filter([{_FIRED}], lambda x: x IS NOT NULL), ',') AS rules FROM q")
 def route_queries(spark, sf_dir):
     """The rules that fire, but for the one with look-ahead, which RE2 lacks."""
     rules = F.array_except(intent.routes(F.col("text"))["rules"], F.array(F.lit("horarios")))
-    return _questions(spark).select("id", F.array_join(rules, ",").alias("rules"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(rules, ",").alias("rules"))
 
 
 def route_boosts(spark, sf_dir):
     """H28 with all rules: a row for each query, category and boost."""
-    return _questions(spark).select("id", F.explode(intent.routes(F.col("text"))["categories"]).alias("category", "boost"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.explode(intent.routes(F.col("text"))["categories"]).alias("category", "boost"))
 
 
 query(None)(route_boosts)
@@ -57,21 +69,21 @@ def _any(patterns) -> str:
 _TT, _EX = _any([fixed.TIMETABLE_INTENT]), _any([fixed.EXAM_INTENT])
 
 
-@query(f"""{_Q} SELECT id, {_any(fixed.LISTING)} AS listing, CASE WHEN {_TT} AND NOT {_EX} THEN 'horario' WHEN {_EX} AND NOT {_TT} THEN 'calendario' END AS wanted,
+@query(f"""{_Q} SELECT conv_id, turn, {_any(fixed.LISTING)} AS listing, CASE WHEN {_TT} AND NOT {_EX} THEN 'horario' WHEN {_EX} AND NOT {_TT} THEN 'calendario' END AS wanted,
  {_any([fixed.META])} AS meta, {_any([fixed.ANAPHORIC])} AS anaphoric,
  CAST(coalesce(CASE lower(regexp_extract(text, '(?i)(?:^|[^\\pL\\pN_])(primer|segund|tercer|cuart)', 1)) WHEN 'primer' THEN '1' WHEN 'segund' THEN '2' WHEN 'tercer' THEN '3' WHEN 'cuart' THEN '4' END,
    nullif(regexp_extract(text, '(?:^|[^\\pL\\pN_])([1-4])\\s*º?(?:$|[^\\pL\\pN_])', 1), '')) AS VARCHAR) AS course FROM q""")
 def listing_intent(spark, sf_dir):
     """H29, H30, H24, H10's questions about the assistant."""
     text = F.col("text")
-    return _questions(spark).select("id", intent.is_listing(text).alias("listing"), intent.wanted_type(text).alias("wanted"), t.is_meta(text).alias("meta"), t.matches(text, fixed.ANAPHORIC).alias("anaphoric"), intent.course(text).cast("string").alias("course"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", intent.is_listing(text).alias("listing"), intent.wanted_type(text).alias("wanted"), t.is_meta(text).alias("meta"), t.matches(text, fixed.ANAPHORIC).alias("anaphoric"), intent.course(text).cast("string").alias("course"))
 
 
 def query_expansion(spark, sf_dir):
     """H18, H19, H25, H31."""
     text = F.col("text")
     found = intent.entities(text)
-    return _questions(spark).select("id", intent.expanded(text).alias("expanded"), F.array_join(intent.subjects(text), ",").alias("subjects"), found["grupo"].alias("grupo"), found["tipo"].alias("tipo"), intent.is_followup(text, found).alias("followup"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", intent.expanded(text).alias("expanded"), F.array_join(intent.subjects(text), ",").alias("subjects"), found["grupo"].alias("grupo"), found["tipo"].alias("tipo"), intent.is_followup(text, found).alias("followup"))
 
 
 query(None)(query_expansion)
@@ -80,23 +92,23 @@ _ANSWERS = (
     "No dispongo de información sobre eso.", "Lo siento, no hay datos.", "No se menciona el plazo.", "El examen es el 3 de julio [1].", "No puedo recomendar una.", "Según la información disponible, es en junio [2] [9] [5.1-3].",
     "La respuesta es: aula 1.4.\nEspero que esto ayude.", "Tras revisar los fragmentos.\nEl plazo es el lunes [1][3].", "Hay * uno * dos", "El plazo acaba el lunes 3. El plazo acaba el lunes 3 de verdad. El plazo acaba el martes 4.",
 )
-_A = "WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(_ANSWERS)) + ") v(id, text))"
+_A = _spread(_ANSWERS, "a")
 
 
-def _answers(spark):
-    return spark.createDataFrame(list(enumerate(_ANSWERS)), "id int, text string")
+def _answers(spark, sf_dir):
+    return _phrased(spark, sf_dir, _ANSWERS)
 
 
-@query(f"{_A} SELECT id, {_any([fixed.ABSTENTION_START])} AS abstention, {_any([fixed.NO_INFO])} AS no_info, {_any([fixed.DECLINE])} AS decline, {_any(fixed.LEAKS)} AS leak FROM a")
+@query(f"{_A} SELECT conv_id, turn, {_any([fixed.ABSTENTION_START])} AS abstention, {_any([fixed.NO_INFO])} AS no_info, {_any([fixed.DECLINE])} AS decline, {_any(fixed.LEAKS)} AS leak FROM a")
 def abstention_flag(spark, sf_dir):
     """Both detectors, and the others."""
     x = F.col("text")
-    return _answers(spark).select("id", t.is_abstention(x).alias("abstention"), t.is_no_info(x).alias("no_info"), t.is_decline(x).alias("decline"), t.matches(x, *fixed.LEAKS).alias("leak"))
+    return _answers(spark, sf_dir).select("conv_id", "turn", t.is_abstention(x).alias("abstention"), t.is_no_info(x).alias("no_info"), t.is_decline(x).alias("decline"), t.matches(x, *fixed.LEAKS).alias("leak"))
 
 
 def answer_cleaning(spark, sf_dir):
     """H8, H9, C15, E18."""
-    return _answers(spark).select("id", t.clean_answer(F.col("text")).alias("clean"), answers.sentence_dedup(F.col("text")).alias("deduped"), t.markdown_lists(F.col("text")).alias("lists"))
+    return _answers(spark, sf_dir).select("conv_id", "turn", t.clean_answer(F.col("text")).alias("clean"), answers.sentence_dedup(F.col("text")).alias("deduped"), t.markdown_lists(F.col("text")).alias("lists"))
 
 
 query(None)(answer_cleaning)
@@ -259,10 +271,12 @@ def history_enrichment(spark, sf_dir):
 query(None)(history_enrichment)
 
 
+_SLOTS = ("Lunes 9:30-10:30, Lunes 10:30-11:30, Lunes 11:30-12:30", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.1)", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.2)", "Lunes 9:30-10:30, Lunes 11:30-12:30")
+
+
 def slot_merging(spark, sf_dir):
-    """H23 on literals."""
-    rows = ["Lunes 9:30-10:30, Lunes 10:30-11:30, Lunes 11:30-12:30", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.1)", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.2)", "Lunes 9:30-10:30, Lunes 11:30-12:30"]
-    return spark.createDataFrame(list(enumerate(rows)), "id int, line string").select("id", rec.merged_slots(F.col("line")).alias("merged"))
+    """A line of slots before every turn's text."""
+    return _phrased(spark, sf_dir, _SLOTS).select("conv_id", "turn", rec.merged_slots(F.col("text")).alias("merged"))
 
 
 query(None)(slot_merging)

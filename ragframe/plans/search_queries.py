@@ -73,18 +73,22 @@ def knn_threshold(spark, sf_dir):
     return _dense(spark, sf_dir, 50).filter(F.col("score") >= 0.35 * 0.7).select("query", "id", "score")
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])), 6) AS norm, [round(x / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])), 6) FOR x IN embedding] AS unit FROM embeddings")
+@query("""
+SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])), 6) AS norm,
+ array_to_string([CAST(CAST(floor(x / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])) * 10000) AS INTEGER) AS VARCHAR) FOR x IN embedding], ' ') AS unit FROM embeddings
+""")
 def vector_norms(spark, sf_dir):
-    """H33, H34."""
+    """All components of the unit vector, in ten-thousandths."""
     v = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.inner(v, v)), 6).alias("norm"), F.round(F.get(search.unit(v), F.lit(0)), 6).alias("first"))
+    parts = F.transform(search.unit(v), lambda x: F.floor(x * 10000).cast("int").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.inner(v, v)), 6).alias("norm"), F.array_join(parts, " ").alias("unit"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(e[1]), 6) AS c1, round(avg(e[64]), 6) AS c64 FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) GROUP BY label")
+@query("SELECT label, CAST(i AS INTEGER) AS component, count(*) AS n, round(avg(x), 6) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL")
 def centroids(spark, sf_dir):
-    """Means of a label's vectors: two components."""
-    e = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.get(e, F.lit(0))), 6).alias("c1"), F.round(F.avg(F.get(e, F.lit(63))), 6).alias("c64"))
+    """Means of a label's vectors: all components."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("component", "x"))
+    return rows.groupBy("label", "component").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 
 #: A second ranking of the same candidates, by label and id, for fusion.
@@ -195,7 +199,7 @@ def retrieval_cascade(spark, sf_dir):
         F.lit(None).cast("string").alias("tipo"), F.expr("cast(null as array<string>)").alias("siglas"), F.lit(False).alias("is_summary"), F.lit(None).cast("int").alias("curso"), seams.embed(F.col("text")).alias("vector"),
     )
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", seams.embed(F.col("text"), passage=False).alias("vector"))
-    return r.retrieve(asked, chunks).select("query_id", "rank", "chunk_id", "score")
+    return r.retrieve(asked, chunks, r.Config(keep=store.materialised)).select("query_id", "rank", "chunk_id", "score")
 
 
 query(None)(retrieval_cascade)

@@ -62,6 +62,36 @@ def test_knn_rrf_mmr(spark):
     assert [r.id for r in search.rrf(ranks).orderBy("rank").collect()] == ["b", "a", "c"]
 
 
+def test_bm25_edges_and_kept_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "uno dos uno"), (4, "dos"), (4, "dos")], "id int, text string")
+    asked = spark.createDataFrame([(0, "uno"), (1, None)], "q int, text string")
+    kept = search.bm25_index(docs, "id", F.col("text"), lambda d: store.materialised(d, "postings"))
+    plain = search.bm25_index(docs, "id", F.col("text"))
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(kept.postings) == rows(plain.postings) == [("dos", 3, 1, 3), ("dos", 4, 1, 1), ("dos", 4, 1, 1), ("uno", 3, 2, 3)]
+    assert rows(plain.lengths) == [(1, 0), (2, 0), (3, 3), (4, 1), (4, 1)] and tuple(plain.totals.first()) == (5, 1.0)
+    few = rows(search.bm25_search(kept, asked, "q", F.col("text"), 3))
+    before, search.MOST_BROADCAST_TERMS = search.MOST_BROADCAST_TERMS, 0
+    try:
+        assert few == rows(search.bm25_search(plain, asked, "q", F.col("text"), 3)) and [r[:2] for r in few] == [(0, 3)]
+    finally:
+        search.MOST_BROADCAST_TERMS = before
+    assert search.bm25_search(search.bm25_index(docs.limit(0), "id", F.col("text")), asked, "q", F.col("text"), 3).count() == 0
+
+
+def test_knn_by_category_and_edges(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, f"c{i % 3}", [float(x) for x in e]) for i, e in enumerate(v)] + [(90, "c0", None), (91, None, [1.0] * 4)], "id long, cat string, v array<double>").repartition(4)
+    asked = spark.createDataFrame([(0, "c0", [1.0, 0.0, 0.0, 0.0]), (0, "c1", [1.0, 0.0, 0.0, 0.0]), (1, "c9", [1.0] * 4), (2, "c0", None)], "id long, cat string, v array<double>")
+    got = sorted((r.query, r.rank, r.id) for r in search.knn(rows, "id", "v", asked, 5, by="cat").collect())
+    best = sorted((i for i in range(60) if i % 3 < 2), key=lambda i: (-round(v[i, 0], 6), i))[:5]
+    assert got == [(0, k + 1, i) for k, i in enumerate(best)]
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 3, 7, 5)], "id long, v array<double>").coalesce(1)
+    assert [(r.rank, r.id) for r in search.knn(ties, "id", "v", ties.filter("id = 5"), 2, exclude_self=True).orderBy("rank").collect()] == [(1, 3), (2, 7)]
+    assert search.knn(ties.limit(0), "id", "v", ties, 2).count() == search.knn(ties, "id", "v", ties.limit(0), 2).count() == 0
+
+
 def _chunks(spark):
     q = [1.0] + [0.0] * 7
     rows = [(i, f"registro {i}", "", f"u{i % 5}", i, "otra", None, None, False, None, [0.9] + [0.1 * (i % 4)] + [0.0] * 6) for i in range(20)]

@@ -51,7 +51,7 @@ def csv_summary(spark, sf_dir):
 def bm25_saved(spark, sf_dir):
     """The inverted index of all documents, saved and loaded."""
     path = store.scratch(spark, "bm25")
-    store.save_index(search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), path)
+    store.save_index(search.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), lambda d: store.materialised(d, "postings")), path)
     index = store.load_index(spark, path)
     return index.lengths.agg(F.count("*").alias("docs"), F.sum("dl").alias("tokens")).join(F.broadcast(index.postings.agg(F.count("*").alias("postings"))), how="cross")  # one row each
 

@@ -7,8 +7,9 @@ log-likelihood ratio for each transition reaches a threshold is a span of kind "
 run the stretches that look random are such spans, so that names and paths around a secret don't hide it.
 Runs are sought in the text with its base spans blanked, so no such span overlaps one.  The models become
 one table of 128 x 128 ratios, a constant of the plan; a pair of characters that neither sample holds is
-no evidence.  Ordinary identifiers are composed from the words of WORDS and from frequent words of the
-scanned documents themselves: at most CORPUS_WORDS, from about CORPUS_TEXTS texts.
+no evidence.  Ordinary identifiers are composed from the words of WORDS and from the words of the scanned
+documents themselves: all words that CORPUS_LEAST of all texts hold, each as often as texts hold it.  A
+text that is there twice counts twice.
 
 Positions are code points, the end exclusive.  They come from `split`, which gives the text between the
 matches of a pattern, beside `regexp_extract_all`, which gives the matches themselves.  Running sums are
@@ -46,8 +47,10 @@ MIN_STRETCH, DROP = 16, 8.0
 MIN_DISTINCT = 6
 SMOOTHING = 0.5
 SAMPLES = 4000
-#: Texts of the corpus that words are taken from (about as many), words at most, and the texts that must hold a word.
-CORPUS_TEXTS, CORPUS_WORDS, CORPUS_LEAST = 2000, 2000, 3
+#: The texts that must hold a word of the corpus, and the words that `corpus_words` shows.
+CORPUS_LEAST, CORPUS_WORDS = 3, 2000
+#: Forms of ordinary identifiers: w, T and U are a word in lower case, with a capital and in capitals, 0 is a number.
+FORMS, NUMBERS = ("w_w_w", "wTT", "www", "w-w-0", "U_U_U", "w/w/w", "Tw=0", "w--w__w"), 2100
 #: Elements of a block of running sums, characters of a piece of text, and how far a stretch is widened.
 BLOCK, PIECE, WIDEN = 64, 512, 256
 
@@ -67,46 +70,83 @@ aujourd enfant toujours pendant ensemble maison gouvernement entreprise nicht zw
 geschichte siempre gobierno desarrollo empresa personas tiempo nuestra""".split()
 
 
+def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the words of three to sixteen ASCII letters, in lower case, and how many of all texts hold them."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![\\p{L}\\p{N}_])[a-z]{3,16}(?![\\p{L}\\p{N}_])"), F.lit(0))
+    return docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= CORPUS_LEAST)
+
+
 def corpus_words(docs: DataFrame, text: str = "text") -> list[str]:
-    """The words of three to sixteen ASCII letters that most texts of a sample hold, in lower case."""
-    texts = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    size = texts.count()
-    if not size:
-        return []
-    sample = texts.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < (1 << 20) * min(1.0, CORPUS_TEXTS / size)).distinct()
-    found = F.regexp_extract_all(F.lower("t"), F.lit("(?<![\\p{L}\\p{N}_])[a-z]{3,16}(?![\\p{L}\\p{N}_])"), F.lit(0))
-    counts = sample.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.filter(F.col("n") >= CORPUS_LEAST).orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    """The words that most texts hold, to be looked at; the models take all of `corpus_counts`."""
+    return [r.word for r in corpus_counts(docs, text).orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
 
 
-def samples(spark: SparkSession, n: int = SAMPLES, words: list[str] | tuple = ()) -> DataFrame:
-    """Labelled samples (token, label): 1 for random strings, 0 for ordinary identifiers; made by rule, n of each.
+def corpus_pairs(docs: DataFrame, text: str = "text") -> dict[int, float]:
+    """The mean number of each pair of characters, as in `train`, in an identifier of the corpus's words; empty without words.
 
-    Every other identifier is composed from `words`, if there are any, the rest from WORDS.
+    Each word counts as often as texts hold it, in every form and at every place alike.  Spark sums the
+    letters' pairs over all words; at most 2 x 27 x 27 sums reach the driver, which puts the forms together.
     """
+    edged = F.concat(F.array(F.lit(0)), F.transform(F.split("word", ""), F.ascii), F.array(F.lit(0)))
+    pairs = corpus_counts(docs, text).select("n", edged.alias("codes")).select("n", F.explode(F.expr("transform(sequence(1, size(codes) - 1), i -> struct(i = 2 as head, codes[i - 1] as a, codes[i] as b))")).alias("p"))
+    sums = sorted((r.head, r.a, r.b, r.n) for r in pairs.groupBy("p.head", "p.a", "p.b").agg(F.sum("n").alias("n")).collect())
+    size = sum(n for _, a, _, n in sums if not a)
+    if not size:
+        return {}
+    lower, upper = lambda x, head: x, lambda x, head: x - 32
+    capital = lambda x, head: x - 32 if head else x
+    parts = {}  # of each kind of part: pairs within it, first and last characters, with their shares
+    for kind, case in (("w", lower), ("T", capital), ("U", upper)):
+        within: dict[int, float] = {}
+        for head, a, b, n in sums:
+            if a and b:
+                pair = case(a, head) * 128 + case(b, False)
+                within[pair] = within.get(pair, 0.0) + n / size
+        parts[kind] = within, {case(b, True): n / size for _, a, b, n in sums if not a}, {case(a, False): n / size for _, a, b, n in sums if not b}
+    within, firsts, lasts = parts["0"] = {}, {}, {}
+    for digits in (str(i).encode() for i in range(NUMBERS)):
+        for own, key in [(firsts, digits[0]), (lasts, digits[-1]), *((within, x * 128 + y) for x, y in zip(digits, digits[1:], strict=False))]:
+            own[key] = own.get(key, 0.0) + 1 / NUMBERS
+    mean: dict[int, float] = {}
+    for form in FORMS:
+        chain = [parts.get(x, ({}, {ord(x): 1.0}, {ord(x): 1.0})) for x in form]
+        joints = [(x * 128 + y, m * n) for (_, _, lasts), (_, firsts, _) in zip(chain, chain[1:], strict=False) for x, m in lasts.items() for y, n in firsts.items()]
+        for pair, n in [*(item for within, _, _ in chain for item in within.items()), *joints]:
+            mean[pair] = mean.get(pair, 0.0) + n / len(FORMS)
+    return mean
+
+
+def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+    """Labelled samples (token, label): 1 for random strings, 0 for ordinary identifiers of WORDS; made by rule, n of each."""
     ids = spark.range(n).select(F.col("id").cast("string").alias("i"), "id")
     seed = lambda salt: F.unhex(F.sha2(F.concat(F.lit(salt), "i"), 512))
     plain = F.regexp_replace(F.base64(seed("a")), "[\\r\\n]", "")
     text = [F.substring(plain, 1, 40), F.substring(F.regexp_replace(plain, "[+/=]", ""), 1, 36), F.sha2(F.concat(F.lit("b"), "i"), 256), F.upper(F.substring(F.regexp_replace(plain, "[+/=a-z]", ""), 1, 30)), F.substring(F.translate(plain, "+/", "-_"), 1, 43), F.lower(F.substring(F.regexp_replace(plain, "[+/=]", ""), 1, 32))]
     random = ids.select(F.element_at(F.array(*text), (F.col("id") % len(text) + 1).cast("int")).alias("token"), F.lit(1).alias("label"))
-    lists = [F.split(F.lit(" ".join(x)), " ") for x in (WORDS, words or WORDS)]
-    known = ids.select("*", F.when(F.floor(F.col("id") / 8) % 2 == 0, lists[0]).otherwise(lists[1]).alias("known"))
-    word = lambda salt: F.element_at("known", (F.pmod(F.crc32(F.concat(F.lit(salt), "i").cast("binary")), F.size("known")) + 1).cast("int")).alias(salt)
-    chosen = known.select("*", word("a"), word("b"), word("c"))  # a step of its own: the lists are in the plan once
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    digits = F.pmod(F.crc32(F.concat(F.lit("d"), "i").cast("binary")), F.lit(2100)).cast("string")
-    named = [F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)), F.concat(a, b, c), F.concat_ws("-", a, b, digits), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("/", a, b, c), F.concat(F.initcap(a), b, F.lit("="), digits), F.concat(a, F.lit("--"), b, F.lit("__"), c)]
-    return random.unionByName(chosen.select(F.element_at(F.array(*named), (F.col("id") % len(named) + 1).cast("int")).alias("token"), F.lit(0).alias("label")))
+    known = F.split(F.lit(" ".join(WORDS)), " ")
+    drawn = lambda salt, size: F.pmod(F.crc32(F.concat(F.lit(salt), "i").cast("binary")), F.lit(size))
+    chosen = ids.select("*", *(F.element_at(known, (drawn(x, len(WORDS)) + 1).cast("int")).alias(x) for x in "abc"), drawn("d", NUMBERS).cast("string").alias("d"))
+
+    def named(form: str) -> Column:
+        names = iter("abc")
+        part = {"w": lambda: F.col(next(names)), "T": lambda: F.initcap(next(names)), "U": lambda: F.upper(next(names)), "0": lambda: F.col("d")}
+        return F.concat(*(part[x]() if x in part else F.lit(x) for x in form))
+
+    return random.unionByName(chosen.select(F.element_at(F.array(*map(named, FORMS)), (F.col("id") % len(FORMS) + 1).cast("int")).alias("token"), F.lit(0).alias("label")))
 
 
-def train(labelled: DataFrame) -> list[float]:
+def train(labelled: DataFrame, corpus: dict[int, float] | None = None) -> list[float]:
     """The table of log-likelihood ratios: at 128 * ascii(a) + ascii(b), ln P(b|a, random) - ln P(b|a, ordinary).
 
-    Counts of pairs are taken by Spark; at most 2 x 128 x 128 of them reach the driver.
+    Counts of pairs are taken by Spark; at most 2 x 128 x 128 of them reach the driver.  Where there is a
+    `corpus` (see `corpus_pairs`), half of the ordinary identifiers are its own: as many as SAMPLES / 2.
     """
     codes = F.transform(F.split("token", ""), F.ascii)
     pairs = labelled.filter("length(token) > 1").select("label", codes.alias("codes")).select("label", F.explode(F.expr("transform(sequence(1, size(codes) - 1), i -> codes[i - 1] * 128 + codes[i])")).alias("pair"))
     seen = {(r.label, r.pair): r.n for r in pairs.filter("pair between 0 and 16383").groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    if corpus:
+        ordinary = {pair: seen.get((0, pair), 0) / 2 + SAMPLES / 2 * corpus.get(pair, 0.0) for pair in sorted({*corpus, *(p for label, p in seen if not label)})}
+        seen = {key: n for key, n in seen.items() if key[0]} | {(0, pair): n for pair, n in ordinary.items()}
     total = dict.fromkeys([(label, a) for label in (0, 1) for a in range(128)], 0)
     for (label, pair), n in seen.items():
         total[label, pair >> 7] += n
@@ -228,7 +268,7 @@ def stretches(token: Column, table: Column, threshold: float = THRESHOLD) -> Col
 
 def with_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, labelled: DataFrame | None = None) -> DataFrame:
     """docs with __base and __spans: sorted arrays of struct<start, ord, end>, ord an index of KINDS."""
-    ratios = train(samples(docs.sparkSession, words=corpus_words(docs, text)) if labelled is None else labelled)
+    ratios = train(samples(docs.sparkSession), corpus_pairs(docs, text)) if labelled is None else train(labelled)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to a constant
     plain = lambda xs: F.array_sort(F.transform(xs, lambda s: F.struct(s.start, s.ord, s.end)))
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -84,6 +84,39 @@ def test_secret_words_of_the_corpus(spark):
     assert secrets.corpus_words(docs) == ["zauberwort"] and secrets.corpus_words(docs.limit(0)) == []
 
 
+def test_secret_words_of_all_texts(spark):
+    """Words that three of many texts hold, more than a list of them takes, and the texts counted whole."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [f"{name(i % 2500)} gemeinsam {name(i % 2500)} " + "x " * 5000 * (i < 3) + "schluss" * (i < 3) for i in range(7500)]
+    docs = docs_of(spark, [*texts, None]).repartition(4)
+    want = {name(i): 3 for i in range(2500)} | {"gemeinsam": 7500, "schluss": 3}
+    assert {r.word: r.n for r in secrets.corpus_counts(docs).collect()} == want
+    assert secrets.corpus_words(docs)[:2] == ["gemeinsam", name(0)] and len(secrets.corpus_words(docs)) == secrets.CORPUS_WORDS
+
+
+def test_secret_pairs_of_the_corpus(spark):
+    """Means over identifiers of every word at every place, by brute force."""
+    from collections import Counter
+    from itertools import product
+
+    counts = {"abc": 3, "bcaa": 5}
+    means, size = Counter(), sum(counts.values())
+    for a, b, c in product(counts, repeat=3):
+        share = counts[a] * counts[b] * counts[c] / size**3 / 8
+        A, B, C = a.title(), b.title(), c.title()
+        whole = [f"{a}_{b}_{c}", a + B + C, a + b + c, f"{a}_{b}_{c}".upper(), f"{a}/{b}/{c}", f"{a}--{b}__{c}"]
+        numbered = [form.format(i) for i in range(2100) for form in (f"{a}-{b}-{{}}", f"{A}{b}={{}}")]
+        for token, weight in [*((x, share) for x in whole), *((x, share / 2100) for x in numbered)]:
+            for x, y in zip(token, token[1:], strict=False):
+                means[128 * ord(x) + ord(y)] += weight
+    got = secrets.corpus_pairs(docs_of(spark, [w for w, n in counts.items() for _ in range(n)]))
+    assert got.keys() == means.keys() and all(abs(got[p] - means[p]) < 1e-9 for p in means)
+    assert secrets.corpus_pairs(docs_of(spark, [None, "ab", "x"])) == {}
+    table = secrets.train(secrets.samples(spark), got)
+    fewer = secrets.train(secrets.samples(spark))
+    assert table[128 * 97 + 97] < fewer[128 * 97 + 97] and len(table) == 128 * 128
+
+
 def test_secret_scan_of_many_spans(spark):
     """Time in proportion to the spans, equal spans by brute force, and all of them redacted."""
     import time

@@ -42,6 +42,21 @@ def test_edges(spark, tmp_path):
                 assert not got
 
 
+def test_secrets_stage_learns_from_all_texts(spark):
+    """Identifiers of words that three texts each hold stay, whichever texts those are; a secret beside them goes."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(2500)]
+    names = ["_".join(rng.choice(words, 4)) for _ in range(200)]
+    hidden = "Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hs6Jd1Gf0Ca"
+    texts = [f"{words[i % 2500]} {i}" for i in range(7500)] + names + [f"a {hidden} z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in corpus_pipeline.secret_stage(spark, docs, SF).collect()}
+    assert len(got) == len(texts) and got[7700] == "a [secret] z"
+    changed = sum(got[7500 + i] != x for i, x in enumerate(names))
+    print(f"identifiers of the corpus's words taken for secrets: {changed} of {len(names)}")
+    assert changed <= 4
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, {}

@@ -191,18 +191,32 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII white space, and the number of words before each row (n+1)."""
-    inside = ~ASCII_SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are `inside`, cut at rows, and the number of runs before each row (n+1)."""
+    cut = np.zeros(len(inside) + 1, bool)
     cut[offsets] = True
-    before = np.concatenate(([False], inside))[: len(data)]
+    before = np.concatenate(([False], inside))[: len(inside)]
     starts = np.flatnonzero(inside & (~before | cut[:-1]))
-    after = np.concatenate((inside[1:], [False])) if len(data) else inside
+    after = np.concatenate((inside[1:], [False])) if len(inside) else inside
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII white space, and the number of words before each row (n+1)."""
+    return runs(~ASCII_SPACE[data], offsets)
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of `data` (in order, not overlapping) as byte strings."""
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] = 1
+    mark[ends] -= 1  # a span may begin where another ends
+    kept = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, sentencepieces, warc
+from . import ann, divergence, exact_dedup, html_text, langid, near_dedup, packing, quality, secrets, sentencepieces, toxicity, warc, whitening
 from .common import small_batches
 from .common import table as read_table
 
@@ -52,7 +52,20 @@ def op6_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op4_ann": op4_ann, "op5_language_id": op5_language_id, "op6_sentencepiece": op6_sentencepiece, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_near_dedup": op10_near_dedup}
+def op11_source_divergence(spark, sf_dir):
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_exact_dedup": op2_exact_dedup, "op3_warc": op3_warc, "op4_ann": op4_ann, "op5_language_id": op5_language_id, "op6_sentencepiece": op6_sentencepiece, "op7_packing": op7_packing, "op8_html_text": op8_html_text, "op9_quality": op9_quality, "op10_near_dedup": op10_near_dedup,
+           "op11_source_divergence": op11_source_divergence, "op12_whitening": op12_whitening, "op13_toxicity": op13_toxicity}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
@@ -85,4 +98,23 @@ SELECT n.doc_id, n.n_shingles, min(r.reach) AS component_id, n.doc_id = min(r.re
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
 
-ORACLE = {"op10_near_dedup": _OP10, "op2_exact_dedup": _OP2, "op3_warc": _OP3}
+_SHARE = "1 + CAST(1000000000 AS HUGEINT) * ({} + 5) // ({} + 5 * v)"
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+e AS (SELECT i, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS total FROM e GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(kept.t) AS v, coalesce(sum(total), 0) AS n_lang FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY 1),
+c AS (SELECT lang, source, t, count(*) AS c FROM e JOIN kept USING (lang, t) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, g.source, t, coalesce(c, 0) AS c, CAST({_SHARE.format("coalesce(c, 0)", "n")} AS BIGINT) AS p, CAST({_SHARE.format("total", "n_lang")} AS BIGINT) AS q
+      FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, t)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', t, p - q FROM p WHERE c > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE = {"op11_source_divergence": _OP11, "op10_near_dedup": _OP10, "op2_exact_dedup": _OP2, "op3_warc": _OP3}

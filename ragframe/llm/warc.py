@@ -175,7 +175,6 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
 
     Arrow batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so files come a few at a time.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_parse(keep_payload), RECORD)
 
@@ -203,8 +202,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     captures = assemble(read(spark, path, keep_payload=False))
-    page = F.expr("try_cast(nullif(regexp_extract(metadata.block, 'page-id: (-?[0-9]*)', 1), '') as bigint)")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    page = F.expr(f"try_cast(nullif(regexp_extract(metadata.block, 'page-id: ([^\\r\\n]*)', 1), '') as {kind})")
     flat = saved(captures.select("capture", page.alias("page_id"), "record_type", F.col("response.refers_to").alias("target"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")), "flat")
     first = flat.filter("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
     joined = flat.filter("record_type = 'revisit'").drop("payload_bytes").join(first, "target").select("page_id", F.col("first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    return flat.filter("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
+    return flat.filter("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to")).unionByName(joined)

@@ -306,8 +306,26 @@ def merge_long(m: Model, word: str) -> Ragged:
     return _spelled(m, np.array(ids, np.int64), np.array([len(ids)]))
 
 
+class Grown:
+    """An array that is added to at the end, in room that doubles."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.room):
+            room = np.zeros(2 * (self.size + len(more)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class Encoder:
-    """Encodes texts by some algorithms, remembering the ids of words in flat arrays."""
+    """Encodes texts by some algorithms, remembering the ids of words in flat arrays: all ids, and where those of each word begin.
+
+    A call costs what its texts and their new words cost, however many words are remembered.
+    """
 
     def __init__(self, path: str, *algorithms: str):
         self.model = model(path)
@@ -317,8 +335,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.flat = [[np.zeros(0, np.uint32)] for _ in self.algorithms]
-        self.sizes = [[np.zeros(0, np.int64)] for _ in self.algorithms]
+        self.flat = [Grown(np.uint32) for _ in self.algorithms]
+        self.first, self.sizes = ([Grown(np.int64) for _ in self.algorithms] for _ in range(2))
 
     def _learn(self, new: list[str]) -> None:
         m, by_size = self.model, {}
@@ -336,8 +354,9 @@ class Encoder:
                         flat, sizes = np.concatenate([f for f, _ in each]), np.concatenate([s for _, s in each])
                     else:
                         flat, sizes = (merge if algorithm == "merge" else viterbi)(m, codes)
-                    self.flat[k].append(flat.astype(np.uint32))
-                    self.sizes[k].append(sizes)
+                    self.first[k].add(self.flat[k].size + np.cumsum(sizes) - sizes)
+                    self.sizes[k].add(sizes)
+                    self.flat[k].add(flat)
 
     def encode_all(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each algorithm the ids of each text."""
@@ -349,10 +368,7 @@ class Encoder:
         ends = np.cumsum([len(ws) for ws in split])
         out = []
         for k in range(len(self.algorithms)):
-            for held in (self.flat, self.sizes):
-                held[k] = [np.concatenate(held[k])]
-            flat, sizes = self.flat[k][0], self.sizes[k][0]
-            first, own = (np.cumsum(sizes) - sizes)[index], sizes[index]
+            flat, first, own = self.flat[k].room, self.first[k].room[index], self.sizes[k].room[index]
             upto = np.cumsum(own)
             ids = flat[np.repeat(first - upto + own, own) + np.arange(int(own.sum()))]
             cuts = np.concatenate(([0], upto))[np.concatenate(([0], ends)).astype(np.int64)]

@@ -178,13 +178,38 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+#: A prime modulus beside 2**64: words built so that a polynomial modulo a power of two can't tell them apart differ here.
+_PRIME, _PRIME_BASE = np.uint64((1 << 31) - 1), 1_103_515_245
+
+
+def _prime_power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and PRIME_BASE**-i modulo PRIME, for i < n at least."""
+    if len(_powers.get("prime_up", ())) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        for name, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, int(_PRIME)))):
+            out = np.ones(size, np.uint64)
+            have = 1
+            while have < size:
+                out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, int(_PRIME))) % _PRIME
+                have *= 2
+            _powers[name] = out
+    return _powers["prime_up"], _powers["prime_down"]
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of codes[start:end] (bytes, or code points if salt's table is a mixer), by prefix sums."""
+    """64-bit hashes of codes[start:end] (bytes, or code points if salt's table is a mixer), by prefix sums.
+
+    Two polynomials are mixed, one modulo 2**64 and one modulo a prime.
+    """
     up, down = _power(len(codes) + 1)
     values = _BYTE[codes] if codes.dtype == np.uint8 else mix(codes.astype(np.uint64) + np.uint64(1))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(values * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt))
+    first = (sums[ends] - sums[starts]) * down[starts]
+    up, down = _prime_power(len(codes) + 1)
+    np.cumsum((values >> np.uint64(33)) * up[: len(codes)] % _PRIME, out=sums[1:])  # under 2**31 each
+    second = (sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME
+    return mix(mix(first + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt)) + second * np.uint64(0x9FB21C651E98DF25))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

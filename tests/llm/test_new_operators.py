@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ragframe.llm import divergence, toxicity, whitening
+from ragframe.llm import divergence, near_dedup, toxicity, warc, whitening
 from ragframe.llm.common import table
 from ragframe.llm.queries import ORACLE, QUERIES
 
@@ -226,3 +226,30 @@ def test_isotonic_calibration_and_trees():
 @pytest.mark.parametrize("text,want", [("ÉTÉ Straße ÀB", "été straße àb"), ("×A", "×a")])
 def test_lower_case_of_bytes(text, want):
     assert toxicity.lowered(np.frombuffer(text.encode(), np.uint8)).tobytes().decode() == want
+
+
+# --- repairs of earlier operators -----------------------------------------------------------------------
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    """Thue-Morse words: a polynomial modulo 2**64 has the same value for such a word and its complement, whatever its base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = near_dedup.report(docs_of(spark, [(word, "en", "s"), (other, "en", "s"), (f"{word} x y z", "en", "s"), (f"{other} x y z", "en", "s"), (word, "en", "s")]), k=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+def test_page_ids_of_any_type(spark):
+    pages = spark.createDataFrame([("p1", "u", "x"), ("p 2", "u", "x"), ("", "v", "y")], "page_id string, url string, html string")
+    rows = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert len(rows) == 3 and {r[0] for r in rows} == {"p1", "p 2", None}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_leave_the_session_as_it_was(spark, name):
+    state = lambda: {k: v for k, v in spark.conf.getAll.items() if k != "spark.sql.execution.arrow.maxBytesPerBatch"}  # noqa: E731  bounded by every query
+    before = state()
+    QUERIES[name](spark, SF).count()
+    assert state() == before

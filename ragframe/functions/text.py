@@ -66,7 +66,7 @@ def _stripping() -> tuple[str, str, str]:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "".join(single + gone), "".join(changed[c] for c in single), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    return "".join(single + gone), "".join(changed[c] for c in single), r"(?=[^\x00-\x7F])[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 def strip_accents(text: Column) -> Column:
@@ -84,9 +84,9 @@ def salient_tokens(text: Column) -> Column:
     """H5: distinct tokens without marks, citation markers, minutes of times and stop words."""
     plain = strip_accents(F.lower(text))
     plain = F.regexp_replace(F.regexp_replace(plain, r"\[\d+\]", " "), r"(\d{1,2}):\d{2}", "$1")
-    tokens = F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))
-    stop = F.array(*map(F.lit, fixed.STOPWORDS))
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t) & (t.rlike("^[0-9]+$") | (F.length(t) >= 3)))
+    # of three characters at least, or digits only; the difference of arrays keeps distinct tokens, in order
+    tokens = F.regexp_extract_all(plain, F.lit("[a-z0-9]{3,}|(?<![a-z0-9])[0-9]{1,2}(?![a-z0-9])"), F.lit(0))
+    return F.array_except(tokens, F.array(*map(F.lit, fixed.STOPWORDS)))
 
 
 def sentences(text: Column) -> Column:

@@ -9,7 +9,8 @@ from ragframe import seams
 from ragframe.functions import fixed, intent
 from ragframe.functions import records as rec
 from ragframe.functions import text as t
-from ragframe.operators import answers, dialogue
+from ragframe.operators import answers, dialogue, overlap
+from ragframe.sources import store
 
 from .registry import query, table
 
@@ -163,12 +164,12 @@ c AS (SELECT query_id, doc_id, source_url, CAST(shared AS INTEGER) AS shared, ro
 """
 
 
-def _covered(spark, sf_dir):
-    """C14 as an equi-join of tokens, for queries and chunks that aren't paired yet."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), t.salient_tokens(F.col("text")).alias("ts")).select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("x"))
-    held = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("source_url"), F.explode(t.salient_tokens(F.col("text"))).alias("x"))
-    shared = held.join(asked, "x").groupBy("query_id", "doc_id", "source_url").agg(F.count("*").cast("int").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= fixed.MIN_SHARED)
-    return shared.select("query_id", "doc_id", "source_url", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("score")).filter(F.col("score") >= fixed.RECOVER_THRESHOLD)
+def _covered(spark, sf_dir, *columns):
+    """C14 for queries and chunks that aren't paired yet."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), t.salient_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents")
+    found = overlap.overlap_join(asked, docs.select("doc_id", t.salient_tokens(F.col("text")).alias("tokens")), fixed.RECOVER_THRESHOLD, fixed.MIN_SHARED, lambda d: store.materialised(d, "overlap"))
+    return found.join(docs.select("doc_id", *columns), "doc_id") if columns else found
 
 
 @query(f"{_COVER} SELECT query_id, doc_id, shared, score FROM c")
@@ -180,7 +181,7 @@ def answer_coverage(spark, sf_dir):
 @query(f"{_COVER}, b AS (SELECT query_id, source_url, max(score) AS score FROM c GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_url) AS INTEGER) AS rank FROM b")
 def recover_sources_best(spark, sf_dir):
     """The best coverage of each source (here: language)."""
-    best = _covered(spark, sf_dir).groupBy("query_id", "source_url").agg(F.max("score").alias("score"))
+    best = _covered(spark, sf_dir, F.col("lang").alias("source_url")).groupBy("query_id", "source_url").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_url")))
 
 

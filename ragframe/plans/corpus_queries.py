@@ -269,6 +269,31 @@ def merge_short(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(chunks.merged_short(F.split("text", "\n", -1), 120), "|").alias("merged"))
 
 
+#: Headings by rule of the document and line, before every third line.
+_HEADED = """
+WITH e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+h AS (SELECT *, CASE WHEN i % 3 = 1 THEN 1 + (doc_id + i) % 4 END AS lv, 'T' || (doc_id * i) % 3 AS name FROM e),
+p AS (SELECT *, {last} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT *, concat_ws(' > ', {valid}) AS path FROM p),
+c AS (SELECT *, CASE WHEN path <> lag(path, 1, '') OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS other FROM v),
+k AS (SELECT *, sum(other) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c),
+b AS (SELECT doc_id, k, nullif(any_value(path), '') AS path, trim(string_agg(x, chr(10) ORDER BY i), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM k GROUP BY doc_id, k)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS position, path, body FROM b WHERE body <> ''
+""".format(
+    last=", ".join(f"coalesce(max(CASE WHEN lv = {n} THEN i END) OVER w, -1) AS p{n}, arg_max(name, CASE WHEN lv = {n} THEN i END) OVER w AS n{n}" for n in range(1, 5)),
+    valid=", ".join(f"CASE WHEN p{n} > greatest(-1{''.join(f', p{m}' for m in range(1, n))}) THEN n{n} END" for n in range(1, 5)),
+)
+
+
+@query(_HEADED)
+def heading_sections(spark, sf_dir):
+    """A fold here; forward fill of each level by windows, void once a higher one came, in the SQL."""
+    d = F.col("doc_id")
+    head = lambda i: F.concat(F.lit("§H"), (1 + (d + i) % 4).cast("string"), F.lit("§ T"), ((d * i) % 3).cast("string"), F.lit("\n"))
+    text = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 == 1, F.concat(head(i), x)).otherwise(x)), "\n")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunks.sections(text)).alias("position", "s")).select("doc_id", "position", "s.path", "s.body")
+
+
 def recursive_chunks(spark, sf_dir):
     """K2, K3, E6 over all documents."""
     return chunks.chunk_documents(_docs(spark, sf_dir), key="doc_id")

@@ -108,23 +108,56 @@ def robots_allowed(spark, sf_dir):
     return web.allowed_by_robots(_pages(spark, sf_dir).select("page_id", "url"), rules).select("page_id")
 
 
-#: A small timetable: words with their places on a page.
-GRID = [
-    (1, 40, 10, "4º"), (1, 60, 10, "Grado"), (1, 90, 10, "en"), (1, 100, 10, "Ingeniería"), (1, 140, 10, "Informática"), (1, 40, 30, "2º"), (1, 55, 30, "cuatrimestre"),
-    (1, 120, 50, "Lunes"), (1, 200, 50, "Martes"), (1, 280, 50, "Miércoles"), (1, 360, 50, "Jueves"), (1, 440, 50, "Viernes"),
-    (1, 40, 70, "11:30-12:30"), (1, 121, 70.5, "DI"), (1, 201, 70, "PPR"), (1, 120, 80, "1.4"), (1, 200, 80, "2.6"), (1, 40, 100, "DI."), (1, 60, 100, "Derecho"), (1, 90, 100, "Informático."),
-]
-
-
+def _grid_words(docs):
+    """A timetable for every document: its words stand on a page by rule of the id, with a legend of its source."""
+    d, words = F.col("doc_id"), []
+
+    def put(x, y, token, where=None):
+        word = F.struct(F.lit(x).cast("double").alias("x"), F.lit(float(y)).alias("y"), (token if not isinstance(token, str) else F.lit(token)).alias("token"))
+        words.append(word if where is None else F.when(where, word))
+
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    put(40, 10, said((1 + d % 4).cast("string"), "º"))
+    put(40, 30, F.when(d % 2 == 0, "1er").otherwise("2º"))
+    for x, y, token in (
+        (60, 10.5, "Grado"), (90, 12, "en"), (100, 9.5, "Ingeniería"), (140, 10, "Informática"), (55, 30, "cuatrimestre"), (120, 50, "LUNES"), (200, 50, "Martes"), (280, 51, "Miércoles"), (360, 50, "jueves"), (440, 50, "Viernes"),
+        (500, 71, " "), (40, 70, "8:30-9:30"), (40, 95, "9:30-10:30"), (40, 120, "10:30-11:30"),
+    ):
+        put(x, y, token)
+    for i in range(5):
+        for k in range(3):
+            cell, y = (d + i + k) % 3 == 0, 70 + 25 * k
+            short = said(F.chr(65 + d % 26), chr(65 + 5 * i) + chr(65 + k))
+            put(120 + 80 * i + d % 7 - 3, y + 1.5 * (i % 2), short, cell)
+            put(125 + 80 * i + d % 7, y, "(A1)", cell & ((d + i) % 2 == 0))
+            put(122 + 80 * i, y + 12, said(f"{1 + i}.", (1 + d % 9).cast("string")), cell & (d % 5 != 0))
+            if i == 2:
+                put(150 + 80 * i, y, "ZZ", cell & (d % 4 == 0))
+            if k == 0:
+                for x, token in ((40, said(short, ".")), (60, "Materia"), (90, said(F.col("source"), "."))):
+                    put(x, 160 + 10 * i, token, cell & ((d + i) % 2 == 0))
+    return docs.select("doc_id", F.lit(1).alias("page"), F.inline(F.filter(F.array(*words), lambda w: w.isNotNull())))
+
+
+_CELLS = "SELECT doc_id AS d, source, i, k, chr(CAST(65 + doc_id % 26 AS INTEGER)) || chr(CAST(65 + 5 * i AS INTEGER)) || chr(CAST(65 + k AS INTEGER)) AS s FROM (SELECT doc_id, source, unnest(range(0, 5)) AS i FROM documents) CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE (doc_id + i + k) % 3 = 0"
+_GRID_SQL = f"""
+WITH c AS ({_CELLS}),
+m AS (SELECT *, CASE WHEN k = 0 AND (d + i) % 2 = 0 THEN 'Materia ' || source || ' (' || s || ')' ELSE s END AS name, (1 + d % 4) || 'º Grado en Ingeniería Informática, ' || CASE WHEN d % 2 = 0 THEN '1er' ELSE '2º' END || ' cuatrimestre' AS place FROM c),
+r AS (SELECT d, 0 AS part, k, i, place || ' — ' || ['Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes'][i + 1] || ' ' || (8 + k) || ':30-' || (9 + k) || ':30: ' || name || CASE WHEN (d + i) % 2 = 0 THEN ' (A1)' ELSE '' END
+        || CASE WHEN d % 4 = 0 AND i = 2 THEN '; ZZ' ELSE '' END || CASE WHEN d % 5 <> 0 THEN ', aula ' || (1 + i) || '.' || (1 + d % 9) ELSE '' END || '.' AS record FROM m),
+t AS (SELECT d, place, name FROM m UNION SELECT d, place, 'ZZ' FROM m WHERE d % 4 = 0 AND i = 2),
+a AS (SELECT * FROM r UNION ALL SELECT d, 1, 0, 0, 'Asignaturas de ' || place || ': ' || string_agg(name, '; ' ORDER BY name) || '.' FROM t GROUP BY d, place)
+SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY part, k, i) - 1 AS INTEGER) AS position, record FROM a
+"""
+
+
+@query(_GRID_SQL)
 def schedule_grid(spark, sf_dir):
-    """A13, K14, E16, E17 on a literal grid."""
-    words = spark.createDataFrame([("g", p, float(x), float(y), w) for p, x, y, w in GRID], "doc_id string, page int, x double, y double, token string")
+    """A grid for every document, read back from its words' places."""
+    words = _grid_words(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return timetable.parse(words)
 
 
-query(None)(schedule_grid)
-
-
 @query("SELECT n_nationkey, CASE WHEN abs(120 - n_nationkey * 17) <= abs(200 - n_nationkey * 17) AND abs(120 - n_nationkey * 17) <= abs(280 - n_nationkey * 17) THEN 'Lunes' WHEN abs(200 - n_nationkey * 17) <= abs(280 - n_nationkey * 17) THEN 'Martes' ELSE 'Miércoles' END AS day FROM nation")
 def nearest_column(spark, sf_dir):
     """C17."""

@@ -108,6 +108,9 @@ def test_calendar_and_plan_records(spark):
         ("Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.1)", "Martes 8:30-10:30 (aula 1.1)"),
         ("Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.2)", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.2)"),
         ("Lunes 9:30-10:30, Lunes 11:30-12:30", "Lunes 9:30-10:30, Lunes 11:30-12:30"),
+        ("a, Lunes 9:30-10:30 (aula 1), Lunes 10:30-11:30, Lunes 11:30-12:30 (aula 1), Martes 12:30-13:30.", "a, Lunes 9:30-12:30 (aula 1), Martes 12:30-13:30."),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_merged_slots(spark, line, want):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ragframe import seams
 from ragframe.operators import answers, chunks, corpus, dialogue, evaluate, retrieve, search
-from ragframe.plans.web_queries import GRID
 from ragframe.sources import store, timetable, web
 from ragframe.streaming import events
 
@@ -21,12 +20,16 @@ def test_split_bound_and_content(text):
     assert bare("".join(pieces)) == bare(text)
 
 
-def test_sections_and_chunks():
-    text = "intro\n§H1§ Grado\nuno\n§H3§ Hondo\ndos\n§H2§ Medio\ntres\nPrimer curso\ncuatro"
-    assert [(p, s.strip()) for p, s in chunks.sections(text)] == [(None, "intro"), ("Grado", "uno"), ("Grado > Hondo", "dos"), ("Grado > Medio", "tres"), ("Grado > Primer curso", "Primer curso\ncuatro")]
-    got = chunks.chunk("Contenido académico relevante. " * 800)
-    assert len(got) > 1 and all(chunks.tokens(c) <= 1024 for _, c in got)
-    assert got[1][1].startswith(list(chunks.split(("Contenido académico relevante. " * 800).strip()))[0][-200:])
+def test_sections_and_chunks(spark):
+    text = "intro\n§H1§ Grado\nuno\n§H3§ Hondo\ndos\n§H2§ Medio\ntres\nPrimer curso\ncuatro\n§H1§ Otro\n§H1§ Grado\ncinco\n§H1§ Grado\nseis\n§H2§ vacío\n  "
+    docs = spark.createDataFrame([("a", text), ("b", None), ("c", ""), ("d", "§H0§ x"), ("e", "Contenido académico relevante. " * 800)], "url string, text string")
+    got = {r.url: [(x.path, x.body) for x in r.s] for r in docs.select("url", chunks.sections(F.col("text")).alias("s")).collect()}
+    assert got["a"] == [(None, "intro"), ("Grado", "uno"), ("Grado > Hondo", "dos"), ("Grado > Medio", "tres"), ("Grado > Primer curso", "Primer curso\ncuatro"), ("Grado", "cinco\nseis")]
+    assert got["b"] == got["c"] == got["d"] == [] and len(got["e"]) == 1
+    rows = [r for r in chunks.chunk_documents(docs).orderBy("position").collect() if r.url == "e"]
+    raw = list(chunks.split(("Contenido académico relevante. " * 800).strip()))
+    assert len(rows) > 1 and all(chunks.tokens(r.text) <= 1024 for r in rows)
+    assert rows[1].text == raw[0][-200:] + " " + raw[1] and rows[0].text == raw[0]
 
 
 def test_chunk_documents_and_records(spark):
@@ -170,6 +173,30 @@ def test_urls_and_crawl(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+#: A small timetable: words with their places on a page.
+GRID = [
+    (1, 40, 10, "4º"), (1, 60, 10, "Grado"), (1, 90, 10, "en"), (1, 100, 10, "Ingeniería"), (1, 140, 10, "Informática"), (1, 40, 30, "2º"), (1, 55, 30, "cuatrimestre"),
+    (1, 120, 50, "Lunes"), (1, 200, 50, "Martes"), (1, 280, 50, "Miércoles"), (1, 360, 50, "Jueves"), (1, 440, 50, "Viernes"),
+    (1, 40, 70, "11:30-12:30"), (1, 121, 70.5, "DI"), (1, 201, 70, "PPR"), (1, 120, 80, "1.4"), (1, 200, 80, "2.6"), (1, 40, 100, "DI."), (1, 60, 100, "Derecho"), (1, 90, 100, "Informático."),
+]
+
+
+def test_timetable_lines_and_states(spark):
+    """Lines are anchored at their first word, a new title ends the columns, rooms and legend entries stay out of cells."""
+    words = [("a", 1, 5.0, 10.0, "uno"), ("a", 1, 1.0, 12.9, "dos"), ("a", 1, 1.0, 13.5, "tres"), ("a", 1, 9.0, 16.0, "cuatro"), ("a", 1, 2.0, 17.0, "cinco"), ("a", 1, 0.0, 1.0, "  ")]
+    schema = "doc_id string, page int, x double, y double, token string"
+    got = [[w.token for w in r.words] for r in timetable.lines(spark.createDataFrame(words, schema)).orderBy("line").collect()]
+    assert got == [["dos", "uno"], ["tres", "cuatro"], ["cinco"]]
+    days = [("Lunes", 100), ("martes", 200), ("JUEVES", 300)]
+    title = lambda y, page=1: ("g", page, 0.0, y, "3º Grado en Ingeniería Informática")
+    grid = [title(0.0), *[("g", 1, float(x), 20.0, d) for d, x in days], ("g", 1, 0.0, 40.0, "9:30-10:30"), ("g", 1, 150.0, 40.0, "FR"), ("g", 1, 155.0, 40.0, "(A1)"), ("g", 1, 158.0, 40.0, "(A2)"), ("g", 1, 290.0, 40.0, "nada"), ("g", 1, 301.0, 40.0, "IS"), ("g", 1, 320.0, 40.0, "SO."), ("g", 1, 330.0, 40.0, "Sistemas")]
+    grid += [("g", 1, 300.0, 50.0, "1.1"), ("g", 1, 305.0, 50.0, "-1.2"), ("g", 1, 0.0, 60.0, "10:30-11:30"), ("g", 1, 100.0, 60.0, "SO"), ("g", 2, 100.0, 0.0, "1.7"), title(10.0, 2), ("g", 2, 0.0, 20.0, "9:30-10:30"), ("g", 2, 100.0, 20.0, "IS")]
+    got = [r.record for r in timetable.parse(spark.createDataFrame(grid, schema)).orderBy("position").collect()]
+    at = "3º Grado en Ingeniería Informática"
+    assert got == [f"{at} — Lunes 9:30-10:30: FR (A1) (A2).", f"{at} — Jueves 9:30-10:30: IS, aula 1.1 / -1.2.", f"{at} — Lunes 10:30-11:30: Sistemas (SO).", f"Asignaturas de {at}: FR; IS; Sistemas (SO)."]
+    assert timetable.parse(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_timetable_grid(spark):
     words = spark.createDataFrame([("g", p, float(x), float(y), w) for p, x, y, w in GRID], "doc_id string, page int, x double, y double, token string")
     got = "\n".join(r.record for r in timetable.parse(words).orderBy("position").collect())

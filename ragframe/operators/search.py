@@ -42,6 +42,13 @@ def _count_terms(schema: pa.Schema):
     return run
 
 
+def weighted_terms(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """term, df, idf of counts (term, df) and one row of totals (n, ...); an idf below zero becomes a share of the mean."""
+    raw = counts.join(F.broadcast(totals), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, F.lit(fixed.BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
 def bm25_index(docs: DataFrame, key: str, text: Column, keep: Callable[[DataFrame], DataFrame] | None = None) -> Bm25Index:
     """K4: statistics of a corpus; idf below zero becomes a share of the mean idf over the vocabulary.
 
@@ -57,10 +64,7 @@ def bm25_index(docs: DataFrame, key: str, text: Column, keep: Callable[[DataFram
     postings = rows.filter("term is not null")
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = counts.join(F.broadcast(size), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, F.lit(fixed.BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Bm25Index(postings, lengths, terms, size)
+    return Bm25Index(postings, lengths, weighted_terms(counts, size), size)
 
 
 #: Query terms (rows of query and term) that are sent to every executor: some 10 MB; more are joined by shuffling.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragframe import seams
 from ragframe.operators import retrieve as r
 from ragframe.operators import search
-from ragframe.sources import store
+from ragframe.sources import lexical_store, store
 
 from .registry import query, table
 
@@ -44,6 +44,32 @@ def bm25_topk(spark, sf_dir):
     return search.bm25_search(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 10)
 
 
+def _grown(spark, sf_dir):
+    """An index of all documents, appended in three batches, one of them twice, and one with texts that are there already."""
+    docs, path = table(spark, sf_dir, "documents"), store.scratch(spark, "lexical")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for batch, rows in (("b0", docs.filter(part == 0)), ("b1", docs.filter(part == 1)), ("b1", docs.filter(part == 1)), ("b2", docs.filter(part > 0))):
+        lexical_store.append(rows, "doc_id", F.col("text"), path, batch)
+    return path
+
+
+@query(f"{_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def bm25_grown_stats(spark, sf_dir):
+    """D1, incremental index: statistics added up over batches."""
+    return lexical_store.load(spark, _grown(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""{_BM25},
+q AS (SELECT query, term, count(*) AS times FROM (SELECT item_id AS query, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT query, id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+      FROM tf JOIN q USING (term) JOIN terms USING (term) JOIN dl USING (id), tot GROUP BY 1, 2)
+SELECT * FROM (SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+""")
+def bm25_grown_topk(spark, sf_dir):
+    """A search of the batches that reads the buckets of its terms only."""
+    return lexical_store.search(_grown(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 10)
+
+
 _V = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0)"
 _KNN = f"""{_V},
 s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_dot_product(q.e, v.e), 6) AS score FROM q JOIN v ON q.vec_id <> v.vec_id),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragframe.sources import store, timetable, web
+from ragframe.sources import frontier, store, timetable, web
 
 from .registry import query, table
 
@@ -87,6 +87,39 @@ def html_text_regex(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", web.plain_text(F.col("html")).alias("text"))
 
 
+def _level(k):
+    """SQL of a crawl's level: reached, owned by the first category with room, cut to what is left of its quota."""
+    return f"""
+r{k} AS (SELECT DISTINCT e.link AS url, f.category FROM l{k - 1} f JOIN e USING (url) WHERE NOT ends_with(e.link, '5') AND NOT (f.category = 'b' AND ends_with(e.link, '7')) AND e.link NOT IN (SELECT url FROM s{k - 1})),
+q{k} AS (SELECT q.category, priority, quota - (SELECT count(*) FROM s{k - 1} s WHERE s.category = q.category) AS room FROM q),
+o{k} AS (SELECT url, min(priority) AS priority FROM r{k} JOIN q{k} USING (category) WHERE room > 0 GROUP BY url),
+l{k} AS (SELECT url, category, priority, {k} AS depth FROM (SELECT o.*, q.category, q.room, row_number() OVER (PARTITION BY q.category ORDER BY url) AS place FROM o{k} o JOIN q{k} q USING (priority)) WHERE place <= room),
+s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})"""
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM pages),
+e AS (SELECT DISTINCT 'https://h' || (page_id % 3) || '.es/' || page_id AS url, 'https://h' || (((page_id * k + 1) % n) % 3) || '.es/' || ((page_id * k + 1) % n) AS link FROM pages, n, (SELECT unnest([2, 3, 7]) AS k)),
+q AS (SELECT * FROM (VALUES ('a', 2, 25), ('b', 1, 9)) x(category, priority, quota)),
+l0 AS (SELECT * FROM (VALUES ('https://h2.es/2', 'a', 2, 0), ('https://h1.es/1', 'b', 1, 0)) x(url, category, priority, depth)), s0 AS (SELECT * FROM l0),
+{",".join(_level(k) for k in range(1, 5))}
+SELECT url, category, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY depth, split_part(url, '/', 3) ORDER BY url) - 1 AS INTEGER) AS slot FROM s4
+""")
+def crawl_quotas(spark, sf_dir):
+    """Two categories with quotas over a link graph of all pages, stopped after level 1 and gone on with."""
+    pages = _pages(spark, sf_dir)
+    n = pages.count()
+    name = lambda c: F.concat(F.lit("https://h"), (c % 3).cast("string"), F.lit(".es/"), c.cast("string"))
+    edges = pages.select(name(F.col("page_id")).alias("url"), F.explode(F.array(*[name((F.col("page_id") * k + 1) % n) for k in (2, 3, 7)])).alias("link")).distinct()
+    seeds = spark.createDataFrame([("https://h2.es/2", "a"), ("https://h1.es/1", "b"), ("https://h1.es/1", "a")], "url string, category string")
+    quotas = spark.createDataFrame([("a", 2, 25), ("b", 1, 9)], "category string, priority int, quota long")
+    keep = lambda category, url: ~F.endswith(url, F.lit("5")) & ~((category == "b") & F.endswith(url, F.lit("7")))
+    path = store.scratch(spark, "frontier")
+    for depth in (1, 4):
+        rows = frontier.crawl(seeds, quotas, edges, keep, path, depth)
+    return rows.select("url", "category", "depth", "slot")
+
+
 def html_parsed(spark, sf_dir):
     """A8, A12 by the parser."""
     return web.parsed(_pages(spark, sf_dir))

@@ -21,7 +21,7 @@ from .search import bm25_index, bm25_search, inner, knn, mmr, ranked, rrf
 
 @dataclass
 class Config:
-    """Production values; a reranker is a function of (query, text) or None."""
+    """Production values; a reranker is a function of (query, text), a sequence of models, each the fallback of those before, or None."""
 
     k_candidates: int = fixed.K_CANDIDATES
     k_final: int = fixed.K_FINAL
@@ -115,10 +115,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     rows = rows.filter((F.round("score", 6) >= floor) | (listing & F.col("is_summary") & fits))
 
     if config.reranker is not None:  # the penalty is on the reranker's scale (V8)
-        scored = rows.withColumn("ce", seams.rerank_scores(F.col("query_text"), F.col("text"), config.reranker))
+        models = [seams.pairwise(config.reranker)] if callable(config.reranker) else config.reranker
+        scored = rows.withColumn("ce", seams.rerank(F.col("query_text"), F.col("text"), models))
         penalty = F.when(routed & ~F.map_contains_key("route.categories", F.coalesce("category", F.lit(""))), config.penalty).otherwise(0.0)
-        failed = F.max(F.col("ce").isNull()).over(Window.partitionBy("query"))  # a failed reranker leaves all scores
-        rows = scored.withColumn("score", F.when(failed, F.col("score")).otherwise(F.col("ce") - penalty)).drop("ce")
+        one = Window.partitionBy("query")  # where a pair has no score, or models on scales of their own gave them, all scores stay
+        failed = F.max(F.col("ce.score").isNull()).over(one) | (F.min("ce.model").over(one) != F.max("ce.model").over(one))
+        rows = scored.withColumn("score", F.when(failed, F.col("score")).otherwise(F.col("ce.score") - penalty)).drop("ce")
     chosen = mmr(rows.select("query", "id", "score", "vector"), config.k_listing, config.mmr_weight)
     chosen = chosen.join(about.select("query", k.alias("k")), "query").filter(F.col("rank") <= F.col("k"))
     return chosen.join(meta, "id").select(F.col("query").alias("query_id"), "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "source_url", "title", "position", "text", "category", "tipo")

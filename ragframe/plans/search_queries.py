@@ -229,3 +229,31 @@ def retrieval_cascade(spark, sf_dir):
 
 
 query(None)(retrieval_cascade)
+
+
+_SET = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\\pL\\pN_]+'))"
+
+
+@query(f"""WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS t FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT conv_id, turn, CASE WHEN length(coalesce(t, '')) > 300 THEN 'small' ELSE 'large' END AS model, CASE WHEN length(coalesce(t, '')) > 300 THEN 'absent: no weights; large: too long; ' ELSE 'absent: no weights; ' END AS error,
+ round(8 * len(list_intersect({_SET.format('q')}, {_SET.format('t')}))::DOUBLE / greatest(1, len({_SET.format('q')})) - 4, 6) AS score FROM p""")
+def rerank_fallback(spark, sf_dir):
+    """F7, the reranker's seam: every question with its answer, by a model that doesn't load, one that fails on long texts, and a last one."""
+    turns = table(spark, sf_dir, "conversations")
+    answers = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = turns.filter("role = 'user'").select("conv_id", "turn", "text").join(answers, ["conv_id", "turn"])
+
+    def absent():
+        raise OSError("no weights")
+
+    def large():
+        def score(pairs):
+            if any(len(t) > 300 for _, t in pairs):
+                raise ValueError("too long")
+            return [seams.lexical_score(q, t) for q, t in pairs]
+
+        return score
+
+    small = lambda: lambda pairs: [seams.lexical_score(q, t) for q, t in pairs]
+    models = [seams.Reranker("absent", absent), seams.Reranker("large", large), seams.Reranker("small", small)]
+    return pairs.select("conv_id", "turn", seams.rerank(F.col("text"), F.col("answer"), models).alias("r")).select("conv_id", "turn", "r.*")

@@ -6,20 +6,23 @@ their scores mean nothing beyond that.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from ragframe.functions import fixed
 
 Embed = Callable[[list[str]], np.ndarray]
 Score = Callable[[str, str], float]
+ScoreAll = Callable[[list[tuple[str, str]]], list[float]]
 Generate = Callable[[str, str], str]
 
 
@@ -53,20 +56,84 @@ def lexical_score(query: str, text: str) -> float:
     return round(8 * share - 4, 6)
 
 
-def rerank_scores(query: Column, text: Column, model: Score = lexical_score) -> Column:
-    """A score for each pair; null where the model fails, so that one bad pair doesn't end the job."""
-
-    def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        def one(a, b):
-            try:
-                return float(model(a or "", b or ""))
-            except Exception:  # noqa: BLE001  what a foreign model raises can't be known
-                return None
-
-        return pd.Series([one(a, b) for a, b in zip(q, t, strict=True)], dtype="float64")
-
-    run.__annotations__ = {"q": pd.Series, "t": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, DoubleType())(query, text)
+@dataclass(frozen=True)
+class Reranker:
+    """A model by name; load() gives a function from a list of (query, text) to their scores, and runs in the workers.
+
+    A name stands for one model in all of a worker's life, unless there is nothing to load and it isn't kept.
+    """
+
+    name: str
+    load: Callable[[], ScoreAll]
+    kept: bool = True
+
+
+def pairwise(model: Score) -> Reranker:
+    """A function of one pair as a model that has nothing to load."""
+    return Reranker(model.__qualname__, lambda: lambda pairs: [model(q, t) for q, t in pairs], kept=False)
+
+
+_LOADED: dict[str, ScoreAll | Exception] = {}  # of this worker process, which serves many tasks
+
+
+def loaded(model: Reranker) -> ScoreAll | Exception:
+    """The model, loaded at its first use in a worker, or why it can't be."""
+    if not model.kept:
+        return model.load()
+    if model.name not in _LOADED:
+        try:
+            _LOADED[model.name] = model.load()
+        except Exception as e:  # noqa: BLE001  what a foreign model raises can't be known
+            _LOADED[model.name] = e
+    return _LOADED[model.name]
+
+
+def _scored(pairs: list[tuple[str, str]], models: Sequence[Reranker]) -> list[tuple]:
+    """(score, model, error) of each pair: by the first model that can; error is what the ones before it said."""
+    done: dict[int, tuple] = {}
+    said = [""] * len(pairs)
+
+    def ask(f: ScoreAll, name: str, places: list[int]) -> bool:
+        try:
+            scores = [float(v) for v in f([pairs[i] for i in places])]
+            if len(scores) != len(places) or not all(map(math.isfinite, scores)):
+                raise ValueError("no score")
+        except Exception as e:  # noqa: BLE001
+            if len(places) == 1:
+                said[places[0]] += f"{name}: {e}; "
+            return False
+        done.update((i, (v, name, said[i] or None)) for i, v in zip(places, scores, strict=True))
+        return True
+
+    for model in models:
+        todo = [i for i in range(len(pairs)) if i not in done]
+        if not todo:
+            break
+        f = loaded(model)
+        if isinstance(f, Exception):
+            for i in todo:
+                said[i] += f"{model.name}: {f}; "
+        elif not ask(f, model.name, todo):  # which pair it is that fails shows one by one
+            for i in todo if len(todo) > 1 else ():
+                ask(f, model.name, [i])
+    return [done.get(i, (None, None, said[i] or None)) for i in range(len(pairs))]
+
+
+def rerank(query: Column, text: Column, models: Sequence[Reranker], batch: int = 32) -> Column:
+    """struct<score, model, error> for each pair, scored in batches by the first model, and where that fails by the next.
+
+    A model is loaded once in a worker, when first needed. What fails depends on the pair alone, not on its batch; a
+    pair that every model fails has a null score. Nulls count as empty.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for q, t in batches:
+            pairs = list(zip(q.fillna(""), t.fillna(""), strict=True))
+            rows = [row for a in range(0, len(pairs), batch) for row in _scored(pairs[a : a + batch], models)]
+            yield pd.DataFrame(rows, columns=["score", "model", "error"]).astype({"score": "float64", "model": object, "error": object})
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "score double, model string, error string")(query, text)
 
 
 def extractive_answer(system: str, user: str) -> str:

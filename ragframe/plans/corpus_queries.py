@@ -8,7 +8,7 @@ from ragframe.functions import text as t
 from ragframe.operators import chunks, corpus
 from ragframe.sources import store
 
-from .registry import query, table
+from .registry import ORACLE, query, table
 
 #: White space of Java's and Python's Unicode classes, for RE2.
 _WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -154,6 +154,16 @@ def reject_reason_counts(spark, sf_dir):
     return _typed(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(ORACLE["reject_reason_counts"])
+def cleaning_metrics(spark, sf_dir):
+    """The same counts, observed while the kept documents are written, in one scan of the table."""
+    docs = _typed(spark, sf_dir)
+    reason = F.coalesce(corpus.reject_reason(F.col("text"), F.col("source_type")), F.lit("kept"))
+    reasons = ("empty", "short", "form", "index", "kept")
+    seen = store.observed_write(docs.withColumn("__reason", reason), F.col("__reason") == "kept", store.scratch(spark, "cleaned"), {r: F.col("__reason") == r for r in reasons})
+    return spark.createDataFrame([(r, seen[r]) for r in reasons if seen[r]], "reason string, n long")
+
+
 @query("SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text)) // greatest(count(*), 1) AS BIGINT) AS mean_chars, CAST(grouping(source) AS INTEGER) AS is_total FROM documents GROUP BY ROLLUP (source)")
 def corpus_rollup(spark, sf_dir):
     """D5, D6 in one pass."""

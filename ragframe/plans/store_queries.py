@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions import fixed, text
 from ragframe.operators import corpus, evaluate, search
-from ragframe.sources import fetch, store
+from ragframe.sources import context_cache, fetch, metadata, store
 
 from .registry import query, table
 
@@ -224,3 +224,35 @@ def query_ids(spark, sf_dir):
     """Twelve hex digits for each turn; random, so that only their number and form can be compared."""
     rows = store.materialised(table(spark, sf_dir, "conversations").select(text.query_id().alias("id")), "ids")
     return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.when(F.col("id").rlike("^[0-9a-f]{12}$"), F.length("id"))).alias("width"))
+
+
+_EXTRAS = "'{\"event_id\": -1, \"user\": {\"id\": ' || user_id || '}, ' || substring(props, 2)"
+
+
+@query("""SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, user_id AS owner, CAST(json_object('k', CAST(props->>'$.k' AS BIGINT), 'user', json_object('id', user_id)) AS VARCHAR) AS extras
+ FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 50""")
+def metadata_variant(spark, sf_dir):
+    """The events' properties, with a nested field and one that would override a column, kept as VARIANT and filtered by path."""
+    path = store.scratch(spark, "variant")
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_EXTRAS).alias("props"))
+    metadata.with_extras(rows, "props").write.parquet(path)
+    kept = spark.read.parquet(path).filter(metadata.field(F.col("extras"), "$.k", "long") >= 50)
+    return kept.select("event_id", metadata.field(F.col("extras"), "$.k", "long").alias("k"), metadata.field(F.col("extras"), "$.user.id", "long").alias("owner"), F.to_json("extras").alias("extras"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, left(sha256(text), 24) AS key FROM documents), first AS (SELECT DISTINCT key FROM d WHERE doc_id % 2 = 0 AND key IS NOT NULL)
+SELECT doc_id, left(CASE WHEN text IS NULL THEN NULL ELSE CASE WHEN key IN (FROM first) THEN 'uno' ELSE 'dos' END || ' ' || length(text) || ' ' || least(length(text), 6000) || chr(10) || chr(10) || text END, 40) AS head FROM d""")
+def context_cache_runs(spark, sf_dir):
+    """Contexts for half the documents, then for all; a third run has a model that always fails and finds them all kept."""
+    path = store.scratch(spark, "cache")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("source_url"), "text")
+    whole = docs.select(F.col("doc_id").alias("url"), "text", F.lit("").alias("title"))
+
+    def down(whole_text, text):
+        raise OSError("no model")
+
+    model = lambda name: lambda whole_text, text: f"{name} {len(text)} {len(whole_text)}"
+    context_cache.contextualised(docs.filter("doc_id % 2 = 0"), whole, path, model("uno"))
+    context_cache.contextualised(docs, whole, path, model("dos"))
+    rows = context_cache.contextualised(docs, whole, path, down)
+    return rows.select("doc_id", F.substring("text", 1, 40).alias("head"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import content_hash, preview
@@ -137,22 +138,48 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").join(spark.read.parquet(f"{path}/vectors"), "chunk_id")
 
 
-def contextualised(chunks: DataFrame, documents_: DataFrame, cache: DataFrame | None, model, max_chars: int = 6000) -> tuple[DataFrame, DataFrame]:
-    """Chunks (chunk_id, source_url, text) with a context sentence before the text, and the new cache (key, context).
+def fresh_contexts(chunks: DataFrame, documents_: DataFrame, cache: DataFrame, model, max_chars: int = 6000) -> DataFrame:
+    """Key, context of the texts that the cache (key, context) lacks; those for which the model fails are left out.
 
-    Only texts that the cache lacks go to the model; where it fails the text stays as it is.
+    A text that several documents hold is asked once, with the document of the smallest url.
     """
     from ragframe import seams
-    from ragframe.functions.text import sanitise_context, with_context
+    from ragframe.functions.text import sanitise_context
+
+    keyed = chunks.select(content_hash(F.col("text"), 24).alias("key"), "source_url", "text").filter("key is not null")
+    todo = keyed.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min("source_url").alias("source_url"), F.first("text").alias("text"))
+    whole = documents_.select(F.col("url").alias("source_url"), F.coalesce(F.substring("text", 1, max_chars), "title", F.lit("")).alias("whole"))
+    asked = todo.join(whole, "source_url", "left").select("key", seams.generate(F.coalesce("whole", F.lit("")), F.col("text"), model).alias("context"))
+    return asked.filter(F.col("context").isNotNull()).select("key", sanitise_context(F.col("context")).alias("context"))
+
+
+def with_contexts(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Chunks with the cache's context before the text."""
+    from ragframe.functions.text import with_context
+
+    held = cache.select(F.col("key").alias("__key"), F.col("context").alias("__context"))
+    rows = chunks.withColumn("__key", content_hash(F.col("text"), 24)).join(held, "__key", "left")
+    return rows.withColumn("text", with_context(F.coalesce("__context", F.lit("")), F.col("text"))).drop("__key", "__context")
+
 
-    keyed = chunks.withColumn("key", content_hash(F.col("text"), 24))
+def contextualised(chunks: DataFrame, documents_: DataFrame, cache: DataFrame | None, model, max_chars: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """Chunks (chunk_id, source_url, text) with a context sentence before the text, and the new cache (key, context)."""
     old = cache if cache is not None else chunks.sparkSession.createDataFrame([], "key string, context string")
-    todo = keyed.join(old.select("key"), "key", "left_anti").dropDuplicates(["key"]).join(documents_.select(F.col("url").alias("source_url"), F.substring("text", 1, max_chars).alias("whole"), F.col("title").alias("__t")), "source_url", "left")
-    asked = todo.select("key", seams.generate(F.coalesce("whole", "__t", F.lit("")), F.col("text"), model).alias("context"))
-    fresh = asked.filter(F.col("context").isNotNull()).select("key", sanitise_context(F.col("context")).alias("context"))
-    held = old.unionByName(fresh)
-    rows = keyed.join(held, "key", "left").withColumn("text", with_context(F.coalesce("context", F.lit("")), F.col("text"))).drop("key")
-    return rows, held
+    held = old.unionByName(fresh_contexts(chunks, documents_, old, model, max_chars))
+    return with_contexts(chunks, held), held
+
+
+def observed_write(rows: DataFrame, kept: Column, path: str, counts: dict[str, Column]) -> dict[str, float]:
+    """Writes the kept rows to path and counts, in the same pass, how often each condition holds over all rows.
+
+    Returns the counts with `rows`, `seconds` and `rows_per_second`; only these go to the driver.
+    """
+    seen = Observation("written")
+    begun = time.monotonic()
+    found = [F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()]
+    rows.observe(seen, F.count("*").alias("rows"), *found).filter(F.coalesce(kept, F.lit(False))).write.mode("overwrite").parquet(path)
+    seconds = time.monotonic() - begun
+    return {**seen.get, "seconds": seconds, "rows_per_second": seen.get["rows"] / max(seconds, 1e-9)}
 
 
 def events(rows: DataFrame, module: str, event: str, at: Column, *fields: str) -> DataFrame:

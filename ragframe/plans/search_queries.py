@@ -257,3 +257,58 @@ def rerank_fallback(spark, sf_dir):
     small = lambda: lambda pairs: [seams.lexical_score(q, t) for q, t in pairs]
     models = [seams.Reranker("absent", absent), seams.Reranker("large", large), seams.Reranker("small", small)]
     return pairs.select("conv_id", "turn", seams.rerank(F.col("text"), F.col("answer"), models).alias("r")).select("conv_id", "turn", "r.*")
+
+
+#: Questions for typed chunks, and what the rules say about each: listing, about subjects, wanted type, subjects, year, boosts.
+TYPED_QUESTIONS = (
+    ("¿Qué asignaturas hay en tercer curso?", True, True, None, (), 3, {"plan_estudios": 2.5, "presentacion_grado": 1.5, "horarios": 1.3}),
+    ("¿Cuándo es el examen de IA?", False, False, "calendario", ("IA",), None, {"calendario": 2.0, "tramites": 1.2}),
+    ("clases de DI", False, False, "horario", ("DI",), None, {"horarios": 2.5, "calendario": 1.2}),
+    ("hola", False, False, None, (), None, {}),
+    ("¿Qué asignaturas hay?", True, True, None, (), None, {}),
+    ("¿Qué asignaturas de DI hay en horario de clase?", True, True, "horario", ("DI",), None, {"horarios": 2.5, "calendario": 1.2}),
+)
+_TYPED_CHUNKS = {
+    "category": "CASE vec_id % 4 WHEN 0 THEN 'horarios' WHEN 1 THEN 'calendario' WHEN 2 THEN 'plan_estudios' ELSE 'otra' END",
+    "tipo": "CASE WHEN vec_id % 7 = 0 THEN 'plan_estudios' WHEN vec_id % 3 = 0 THEN 'horario' WHEN vec_id % 3 = 1 THEN 'calendario' END",
+    "siglas": "CASE vec_id % 5 WHEN 0 THEN {0}'IA'{1} WHEN 1 THEN {0}'DI'{1} WHEN 2 THEN {0}'IA', 'DI'{1} END",
+    "is_summary": "vec_id % 13 = 0",
+    "curso": "CASE WHEN vec_id % 6 < 4 THEN CAST(vec_id % 6 + 1 AS INTEGER) END",
+    "title": "CASE WHEN vec_id % 8 = 3 THEN 'Apuntes de DI' ELSE '' END",
+}
+
+
+def typed_sql(off: str = "") -> str:
+    """The SQL of retrieval_typed; off: routes, structured, subjects, types or summaries, to leave a step out."""
+    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    facts = ", ".join(f"({j}, {listing}, {about}, {one(wanted)}, {list(subjects)}::VARCHAR[], {one(year)}, {list(boosts)}::VARCHAR[], {list(boosts.values())}::DOUBLE[])" for j, (_, listing, about, wanted, subjects, year, boosts) in enumerate(TYPED_QUESTIONS))
+    columns = ", ".join(f"{sql.format('[', ']')} AS {name}" for name, sql in _TYPED_CHUNKS.items())
+    boost = "1.0::DOUBLE" if off == "routes" else "coalesce(boosts[list_position(routed, category)], 1.0::DOUBLE)"
+    structured = "1.0::DOUBLE" if off == "structured" else "CASE WHEN tipo = 'horario' THEN (CASE WHEN list_has_any(siglas, subjects) THEN 1.6::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN is_summary AND about THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) ELSE 1.0::DOUBLE END"
+    subjects = "true" if off == "subjects" else "(len(subjects) = 0 OR len(own) = 0 OR list_has_any(own, subjects))"
+    types = "true" if off == "types" else "(wanted IS NULL OR tipo IS NULL OR tipo NOT IN ('horario', 'calendario') OR tipo = wanted)"
+    listed = "false" if off == "summaries" else "listing AND about AND is_summary AND (len(routed) = 0 OR list_contains(routed, category)) AND (year IS NULL OR curso IS NULL OR curso = year)"
+    return f"""
+WITH facts(j, listing, about, wanted, subjects, year, routed, boosts) AS (VALUES {facts}),
+chunks AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {columns} FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT *, CASE WHEN is_summary OR coalesce(tipo = 'plan_estudios', false) THEN []::VARCHAR[] WHEN siglas IS NOT NULL THEN siglas WHEN title <> '' THEN ['DI'] ELSE []::VARCHAR[] END AS own FROM chunks),
+p AS MATERIALIZED (SELECT q.id * 10 + j AS query, CASE WHEN listing THEN 10 ELSE 5 END AS k, facts.*, c.*, list_dot_product(c.v, q.v) AS exact, round(list_dot_product(c.v, q.v), 6) AS dense
+  FROM (SELECT id, v FROM chunks WHERE id % 100 = 0) q, facts, c),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dense DESC, id) <= 50 AS near FROM p),
+more AS (SELECT *, near OR (list_contains(routed, category) AND row_number() OVER (PARTITION BY query, near, list_contains(routed, category) ORDER BY dense DESC, id) <= 2 * k) AS taken FROM pool),
+coherent AS (SELECT *, taken AND {subjects} AND {types} AS held, {listed} AS listed FROM more),
+scored AS (SELECT query, k, id, listed, CASE WHEN held THEN dense * {boost} * ({structured}) ELSE exact END AS score FROM coherent WHERE held OR listed)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM (SELECT query AS query_id, k, id AS chunk_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, score DESC, id) AS rank
+  FROM scored WHERE listed OR round(score, 6) >= 0.35) WHERE rank <= k"""
+
+
+@query(typed_sql())
+def retrieval_typed(spark, sf_dir):
+    """The cascade over typed chunks, with dense candidates, no reranker and no diversity, which SQL can't express."""
+    rows = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    types = [F.expr(sql.format("array(", ")")).alias(name) for name, sql in _TYPED_CHUNKS.items()]
+    text = F.concat(F.lit("registro "), F.col("vec_id"))
+    chunks = rows.select(F.col("vec_id").alias("chunk_id"), text.alias("text"), text.alias("source_url"), F.lit(0).alias("position"), *types, F.col("embedding").alias("vector"))
+    asked = F.posexplode(F.array(*[F.lit(q) for q, *_ in TYPED_QUESTIONS])).alias("j", "text")
+    queries = rows.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("vector"), asked).select((F.col("vec_id") * 10 + F.col("j")).alias("query_id"), "text", "vector")
+    return r.retrieve(queries, chunks, r.Config(hybrid=False, reranker=None, mmr_weight=1.0, keep=store.materialised)).select("query_id", "rank", "chunk_id")

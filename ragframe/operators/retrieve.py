@@ -1,7 +1,7 @@
 """The retrieval cascade over batches of queries (survey K6, K8-K10, C3-C7, B18-B20, E9, F5, F6, H36).
 
 queries: query_id, text, vector.  chunks: chunk_id, text, title, source_url, position, category, tipo,
-siglas, is_summary, curso, vector.  Every step keeps query_id, so a batch is one plan; what a step adds or
+siglas, is_summary, curso, vector.  Both ids are numbers.  Every step keeps query_id, so a batch is one plan; what a step adds or
 drops is a join or a filter, and only the choice of diverse results, over a bounded pool, runs in Python.
 """
 

@@ -44,25 +44,33 @@ def _re2(pattern: str) -> str:
     return pattern.replace("'", "''").replace(r"\b", r"(?:^|$|[^\pL\pN_])")
 
 
-_ROUTES = [(name, p, boosts) for name, p, boosts in fixed.ROUTES if "(?!" not in p]
-_FIRED = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_re2(p)}') THEN '{name}' END" for name, p, _ in _ROUTES)
+def _unless(begin: str, not_: str) -> str:
+    """SQL: does some match of `begin` stand before a word and not before `not_`? RE2 has no look-ahead, so what follows each match is tested."""
+    parts = f"regexp_split_to_array(text, '(?i){begin}')"
+    return f"len(list_filter(range(2, len({parts}) + 1), lambda i: regexp_matches({parts}[i], '^[\\pL\\pN_]') AND NOT regexp_matches(array_to_string({parts}[i:], ' '), '(?i)^{not_}'))) > 0"
+
+
+_LOOKING_AHEAD = " OR ".join([
+    r"regexp_matches(text, '(?i)(?:a\s+qué\s+hora|(?:qué|en\s+qué)\s+aula|horarios?\s+de\s+(?:las?\s+)?(?:clase|asignatura))')",
+    _unless(r"clases?\s+de\s+", r"la\s+secretar"), _unless(r"horarios?\s+de\s+", r"[^\n]*(?:secretar|ex[áa]men)"),
+])
+_FIRED = ", ".join(f"CASE WHEN {_LOOKING_AHEAD if '(?!' in p else f"regexp_matches(text, '(?i){_re2(p)}')"} THEN '{name}' END" for name, p, _ in fixed.ROUTES)
+_BOOSTS = ", ".join(f"('{name}', '{category}', {float(boost)}::DOUBLE)" for name, _, boosts in fixed.ROUTES for category, boost in boosts.items())
 
 
 @query(f"{_Q} SELECT conv_id, turn, array_to_string(list_filter([{_FIRED}], lambda x: x IS NOT NULL), ',') AS rules FROM q")
 def route_queries(spark, sf_dir):
-    """The rules that fire, but for the one with look-ahead, which RE2 lacks."""
-    rules = F.array_except(intent.routes(F.col("text"))["rules"], F.array(F.lit("horarios")))
-    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(rules, ",").alias("rules"))
+    """The rules that fire."""
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(intent.routes(F.col("text"))["rules"], ",").alias("rules"))
 
 
+@query(f"""{_Q}, boosts(rule, category, boost) AS (VALUES {_BOOSTS})
+SELECT conv_id, turn, category, max(boost) AS boost FROM (SELECT conv_id, turn, unnest(list_filter([{_FIRED}], lambda x: x IS NOT NULL)) AS rule FROM q) JOIN boosts USING (rule) GROUP BY conv_id, turn, category""")
 def route_boosts(spark, sf_dir):
-    """H28 with all rules: a row for each query, category and boost."""
+    """A row for each query and category, with the largest boost of the rules that fire."""
     return _questions(spark, sf_dir).select("conv_id", "turn", F.explode(intent.routes(F.col("text"))["categories"]).alias("category", "boost"))
 
 
-query(None)(route_boosts)
-
-
 def _any(patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches(text, '(?i){_re2(p)}')" for p in patterns) + ")"
 

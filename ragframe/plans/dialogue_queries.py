@@ -280,12 +280,22 @@ def history_enrichment(spark, sf_dir):
 query(None)(history_enrichment)
 
 
-_SLOTS = ("Lunes 9:30-10:30, Lunes 10:30-11:30, Lunes 11:30-12:30", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.1)", "Martes 8:30-9:30 (aula 1.1), Martes 9:30-10:30 (aula 1.2)", "Lunes 9:30-10:30, Lunes 11:30-12:30")
-
-
+@query("""
+WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS text, i, ['Lunes', 'Martes'][CAST((conv_id + i) // 3 % 2 AS INTEGER) + 1] AS day, 8 + i + CASE WHEN (conv_id + turn + i) % 3 = 0 THEN 1 ELSE 0 END AS h,
+   CASE WHEN turn % 2 = 0 THEN '' ELSE ' (aula 1.' || ((conv_id + i) // 2 % 2) || ')' END AS room FROM conversations, range(5) r(i)),
+b AS (SELECT *, CASE WHEN lag(day || room) OVER w = day || room AND lag(h) OVER w + 1 = h THEN 0 ELSE 1 END AS begins FROM s WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY conv_id, turn ORDER BY i) AS island FROM b),
+m AS (SELECT conv_id, turn, text, island, any_value(day) || ' ' || min(h) || ':30-' || (max(h) + 1) || ':30' || any_value(room) AS slot FROM n GROUP BY conv_id, turn, text, island)
+SELECT conv_id, turn, string_agg(slot, ', ' ORDER BY island) || ' ' || text AS merged FROM m GROUP BY conv_id, turn, text""")
 def slot_merging(spark, sf_dir):
-    """A line of slots before every turn's text."""
-    return _phrased(spark, sf_dir, _SLOTS).select("conv_id", "turn", rec.merged_slots(F.col("text")).alias("merged"))
+    """Five slots by rule before every turn's text, a fold here and islands in the SQL; turns without rooms and with."""
 
+    def slot(i):
+        at = F.col("conv_id") + i
+        day = F.when(F.floor(at / 3) % 2 == 0, "Lunes").otherwise("Martes")
+        hour = 8 + i + F.when((at + F.col("turn")) % 3 == 0, 1).otherwise(0)
+        room = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit(" (aula 1."), (F.floor(at / 2) % 2).cast("string"), F.lit(")")))
+        return F.concat(day, F.lit(" "), hour.cast("string"), F.lit(":30-"), (hour + 1).cast("string"), F.lit(":30"), room)
 
-query(None)(slot_merging)
+    slots = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), slot), ", ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rec.merged_slots(F.concat(slots, F.lit(" "), F.coalesce("text", F.lit("")))).alias("merged"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragframe.functions import fixed
 from ragframe.functions import text as t
 from ragframe.operators import chunks, corpus
 from ragframe.sources import store
@@ -233,23 +234,28 @@ def review_rows(spark, sf_dir):
     return store.review_rows(_docs(spark, sf_dir), "doc_id", F.col("text"), "lang").withColumn("row_no", F.col("row_no").cast("long"))
 
 
-_NAMES = "('https://etsiit.ugr.es/a/Horarios%20GII.pdf', 'x', 'calendario'), ('https://ugr.es/Plan-Estudios', NULL, 'guias_docentes'), ('https://etsiit.ugr.es/presentacion/secretaria', '', 'guias_docentes'), ('https://x.es/presentacion/', '', 'a'), ('https://x.es/y', 'Presentación del Grado', 'a'), ('https://x.es/CalendarioExamenes%2024-25.pdf', 'z', 'c'), ('https://x.es/CalendarioExamenes_25-26.pdf', 'protección de datos', 'd')"
+_PATHS = ("/a/Horarios%20GII.pdf", "/Plan-Estudios", "/presentacion/secretaria", "/presentacion/", "/y", "/CalendarioExamenes%2024-25.pdf", "/CalendarioExamenes_25-26.pdf", "/una_hoja.v2.pdf")
+_TITLES = ("x", "", "Presentación del Grado", "Protección de datos", "Plan de Estudios 2025")
+_NOISE = " OR ".join(f"contains(lower(coalesce({c}, '')), '{k}')" for c in ("title", "url", "left(html, 300)") for k in fixed.NOISE_KEYWORDS)
 
 
 @query(rf"""
-SELECT url, CASE WHEN contains(lower(url), 'horario') OR contains(lower(coalesce(title, '')), 'horario') THEN 'horarios'
+WITH v AS (SELECT page_id, html, 'https://' || CASE page_id % 3 WHEN 0 THEN 'etsiit.x.es' ELSE 'x.es' END || '/p' || page_id || {list(_PATHS)}[page_id % 8 + 1] AS url, CASE WHEN page_id % 7 < 5 THEN {list(_TITLES)}[page_id % 7 + 1] END AS title, 'c' || page_id % 2 AS category FROM pages)
+SELECT page_id, CASE WHEN contains(lower(url), 'horario') OR contains(lower(coalesce(title, '')), 'horario') THEN 'horarios'
   WHEN contains(lower(url), 'plan-estudios') OR contains(lower(coalesce(title, '')), 'plan de estudios') THEN 'plan_estudios'
   WHEN contains(lower(url), '/secretaria') AND contains(lower(url), 'etsiit') THEN 'tramites'
   WHEN regexp_matches(lower(url), '/presentacion/?$') OR contains(lower(coalesce(title, '')), 'presentación del grado') THEN 'presentacion_grado' ELSE category END AS category,
-  contains(url, 'CalendarioExamenes') AND NOT contains(url, '25-26') AS old_exam, coalesce(contains(title, 'protección de datos'), false) AS noise,
-  replace(regexp_replace(regexp_extract(replace(url, '%20', ' '), '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1'), '_', ' ') AS title
-FROM (VALUES {_NAMES}) v(url, title, category)
-""")
+  contains(url, 'CalendarioExamenes') AND NOT contains(url, '25-26') AS old_exam, {_NOISE} AS noise,
+  CASE WHEN length(title) > 1 THEN title ELSE replace(regexp_replace(regexp_extract(replace(url, '%20', ' '), '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1'), '_', ' ') END AS title
+FROM v""")
 def refine_category(spark, sf_dir):
-    """B13, B16, B22, B25 on literals."""
-    rows = spark.sql(f"SELECT * FROM VALUES {_NAMES} AS v(url, title, category)")
+    """Every page, under names by rule."""
+    i = F.col("page_id")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    address = F.concat(F.lit("https://"), F.when(i % 3 == 0, "etsiit.x.es").otherwise("x.es"), F.lit("/p"), i, pick(_PATHS, i % 8))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", address.alias("url"), F.when(i % 7 < 5, pick(_TITLES, i % 7)).alias("title"), F.concat(F.lit("c"), i % 2).alias("category"))
     url, name = F.col("url"), F.col("title")
-    return rows.select("url", corpus.refine_category(url, name, F.col("category")).alias("category"), corpus.old_exam(url).alias("old_exam"), corpus.is_noise(name, url, F.lit("")).alias("noise"), corpus.inferred_title(url).alias("title"))
+    return rows.select("page_id", corpus.refine_category(url, name, F.col("category")).alias("category"), corpus.old_exam(url).alias("old_exam"), corpus.is_noise(name, url, F.col("html")).alias("noise"), corpus.title(F.lit(None).cast("string"), name, url).alias("title"))
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS position, substr(text, CAST(i AS BIGINT) * 2048 + 1, 2048) AS chunk, substr(sha256(doc_id || ':::' || i), 1, 16) AS chunk_id FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 2048 + 1)) AS i FROM documents WHERE length(text) > 0)")
@@ -312,15 +318,31 @@ def recursive_chunks(spark, sf_dir):
 query(None)(recursive_chunks)
 
 
-def structured_records(spark, sf_dir):
-    """H20-H22, B11, B12 on literals."""
-    lines = {
-        "horario": "4º Grado en Ingeniería Informática (Computación), 2º cuatrimestre — Lunes 11:30-12:30: Derecho Informático (DI), aula 1.4.\n# nota\nAsignaturas de 3º A, primer cuatrimestre: Redes (FR); Servidores (IS).",
-        "calendario": "Calendario TFG 2025-2026 | Defensa: 3 de julio",
-        "plan_estudios": "Plan | Tercer curso, especialidad Sistemas (CSI): Aprendizaje (AA), Redes (FR)",
-    }
-    docs = spark.createDataFrame([(f"https://x.es/{k}", v, k) for k, v in lines.items()], "url string, text string, tipo string")
-    return chunks.chunk_records(docs).withColumn("siglas", F.array_join("siglas", ","))
+_RECORD_DAYS, _YEARS = ["Lunes", "Martes", "Miércoles", "Jueves", "Viernes"], ["Primer", "Segundo", "Tercer", "Cuarto"]
+_RECORDS = f"""
+WITH b AS (SELECT 'https://x.es/' || conv_id || '/' || turn AS url, (conv_id + turn) % 3 AS kind, CAST(1 + (conv_id + turn) % 4 AS INTEGER) AS c, CAST(1 + turn % 2 AS INTEGER) AS t, {_RECORD_DAYS}[conv_id % 5 + 1] AS dia,
+   (8 + conv_id % 6) || ':30-' || (9 + conv_id % 6) || ':30' AS hora, (1 + turn % 3) || '.' || (conv_id % 9) AS aula, {list("ABCD")}[conv_id % 4 + 1] AS g, {_YEARS}[1 + (conv_id + turn) % 4] AS word FROM conversations),
+r AS (SELECT url, 'horario' AS tipo, 0 AS position, c || 'º Grado en Ingeniería Informática (Computación), ' || t || 'º cuatrimestre — ' || dia || ' ' || hora || ': Derecho Informático (DI), aula ' || aula || '.' AS text,
+   'horarios' AS category, false AS is_summary, c AS curso, NULL AS grupo, 'Computación' AS especialidad, t AS cuatrimestre, dia, hora, aula, NULL AS evento, 'DI' AS siglas FROM b WHERE kind = 0
+ UNION ALL SELECT url, 'horario', 1, 'Asignaturas de ' || c || 'º ' || g || ', primer cuatrimestre: Redes (FR); Servidores (IS).', 'horarios', true, c, g, NULL, 1, NULL, NULL, NULL, NULL, 'FR,IS' FROM b WHERE kind = 0
+ UNION ALL SELECT url, 'calendario', 0, 'Calendario TFG 2025-2026 | Defensa ' || g || ': 3 de julio, a las ' || hora, 'calendario', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Defensa ' || g, NULL FROM b WHERE kind = 1
+ UNION ALL SELECT url, 'plan_estudios', 0, 'Plan | ' || word || ' curso, especialidad Sistemas (CSI): Aprendizaje (AA), Redes (FR)', 'plan_estudios', true, c, NULL, 'CSI', NULL, NULL, NULL, NULL, NULL, 'CSI,AA,FR' FROM b WHERE kind = 2)
+SELECT *, left(sha256(url || ':::' || position), 16) AS chunk_id FROM r"""
 
 
-query(None)(structured_records)
+@query(_RECORDS)
+def structured_records(spark, sf_dir):
+    """Records by rule for every turn, beside a comment with its own text and a line that is too short."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    year, group, hours = 1 + (conv + turn) % 4, pick("ABCD", conv % 4), F.concat(8 + conv % 6, F.lit(":30-"), 9 + conv % 6, F.lit(":30"))
+    lesson = F.concat(year, F.lit("º Grado en Ingeniería Informática (Computación), "), 1 + turn % 2, F.lit("º cuatrimestre — "), pick(_RECORD_DAYS, conv % 5), F.lit(" "), hours, F.lit(": Derecho Informático (DI), aula "), 1 + turn % 3, F.lit("."), conv % 9, F.lit("."))
+    subjects = F.concat(F.lit("Asignaturas de "), year, F.lit("º "), group, F.lit(", primer cuatrimestre: Redes (FR); Servidores (IS)."))
+    note = F.concat(F.lit("# "), F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    event = F.concat(F.lit("Calendario TFG 2025-2026 | Defensa "), group, F.lit(": 3 de julio, a las "), hours)
+    plan = F.concat(F.lit("Plan | "), pick(_YEARS, year - 1), F.lit(" curso, especialidad Sistemas (CSI): Aprendizaje (AA), Redes (FR)"))
+    kind = (conv + turn) % 3
+    tipo = F.when(kind == 0, "horario").when(kind == 1, "calendario").otherwise("plan_estudios")
+    text = F.concat_ws("\n", note, F.when(kind == 0, lesson).when(kind == 1, event).otherwise(plan), F.lit("breve"), F.when(kind == 0, subjects))
+    docs = table(spark, sf_dir, "conversations").select(F.concat(F.lit("https://x.es/"), conv, F.lit("/"), turn).alias("url"), text.alias("text"), tipo.alias("tipo"))
+    return chunks.chunk_records(docs).withColumn("siglas", F.array_join("siglas", ","))

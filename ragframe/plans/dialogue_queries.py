@@ -88,15 +88,31 @@ def listing_intent(spark, sf_dir):
     return _questions(spark, sf_dir).select("conv_id", "turn", intent.is_listing(text).alias("listing"), intent.wanted_type(text).alias("wanted"), t.is_meta(text).alias("meta"), t.matches(text, fixed.ANAPHORIC).alias("anaphoric"), intent.course(text).cast("string").alias("course"))
 
 
+def _subjects_sql(text: str) -> str:
+    """SQL: short forms that are whole words, then full names, without accents."""
+    short = f"list_filter(regexp_extract_all({text}, '[\\pL\\pN_]+'), lambda t: list_contains({list(fixed.SUBJECTS)}, t))"
+    names = {t.lower().translate(str.maketrans("áéíóúüñ", "aeiouun")): sigla for sigla, t in fixed.SUBJECTS.items()}
+    found = f"regexp_extract_all(strip_accents(lower({text})), '\\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\\b')"
+    both = f"list_concat({short}, list_transform({found}, lambda n: {list(names.values())}[list_position({list(names)}, n)]))"
+    return f"list_filter({both}, lambda x, i: list_position({both}, x) = i)"
+
+
+_SPELLED = "list_transform(words, lambda w: CASE WHEN list_contains({keys}, rtrim(w, '?.,;:!')) THEN rtrim(w, '?.,;:!') || ' (' || {names}[list_position({keys}, rtrim(w, '?.,;:!'))] || ')' || w[length(rtrim(w, '?.,;:!')) + 1:] ELSE w END)".format(keys=list(fixed.SUBJECTS), names=list(fixed.SUBJECTS.values()))
+
+
+@query(f"""{_Q}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\s\\x{{A0}}]+'), lambda x: x <> '') AS words FROM q),
+f AS (SELECT *, array_to_string({_SPELLED}, ' ') AS spelled, {_subjects_sql('text')} AS found,
+  coalesce(nullif(replace(regexp_extract(text, '(?i){_re2(fixed.GROUP)}', 1), ' ', ''), ''), nullif(replace(regexp_extract(text, '{_re2(fixed.GROUP_BARE)}', 1), ' ', ''), ''), nullif(upper(regexp_extract(text, '(?i){_re2(fixed.GROUP_LETTER)}', 1)), '')) AS g,
+  regexp_matches(text, '(?i){_re2(fixed.SUBGROUP)}') AS sub, CASE WHEN {_any([fixed.PRACTICE])} THEN 'prácticas' WHEN {_any([fixed.THEORY])} THEN 'teoría' END AS tipo, {_any([fixed.ANAPHORIC])} AS anaphoric FROM w),
+s AS (SELECT *, {_subjects_sql('spelled')} AS named FROM f)
+SELECT conv_id, turn, spelled || array_to_string(list_transform(list_filter(named, lambda x: NOT list_contains(list_transform(words, lambda w: rtrim(w, '?.,;:!')), x)), lambda x: ' (' || x || ')'), '') AS expanded,
+  array_to_string(found, ',') AS subjects, 'grupo ' || g AS grupo, tipo, anaphoric OR (len(words) <= 6 AND len(found) = 0 AND (g IS NOT NULL OR sub OR tipo IS NOT NULL)) AS followup FROM s""")
 def query_expansion(spark, sf_dir):
     """H18, H19, H25, H31."""
     text = F.col("text")
     found = intent.entities(text)
     return _questions(spark, sf_dir).select("conv_id", "turn", intent.expanded(text).alias("expanded"), F.array_join(intent.subjects(text), ",").alias("subjects"), found["grupo"].alias("grupo"), found["tipo"].alias("tipo"), intent.is_followup(text, found).alias("followup"))
 
-
-query(None)(query_expansion)
-
 _ANSWERS = (
     "No dispongo de información sobre eso.", "Lo siento, no hay datos.", "No se menciona el plazo.", "El examen es el 3 de julio [1].", "No puedo recomendar una.", "Según la información disponible, es en junio [2] [9] [5.1-3].",
     "La respuesta es: aula 1.4.\nEspero que esto ayude.", "Tras revisar los fragmentos.\nEl plazo es el lunes [1][3].", "Hay * uno * dos", "El plazo acaba el lunes 3. El plazo acaba el lunes 3 de verdad. El plazo acaba el martes 4.",

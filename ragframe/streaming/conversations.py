@@ -19,7 +19,6 @@ from ragframe.functions import intent
 from ragframe.functions.text import stripped
 from ragframe.operators.dialogue import ENTITIES
 
-TURNS = "conv_id long, turn long, role string, text string"
 #: The state store that state of this kind needs; no runs without data, which would follow each other for ever where timers are kept.
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
+"""Nearest neighbours: inverted file, product-quantised residuals, exact reranking and an exact check.
 
 Coarse centroids and the codebooks of residuals are fitted on the driver, on a sample of 32 vectors for
 each list (4,096 at least, SAMPLE at most, SAMPLE_BYTES in all), those whose ids hash lowest.  Every
@@ -11,6 +11,12 @@ tables); those are ranked by the exact distance of the original vectors.
 |q - c - r|^2 is |q - c|^2 + (|r|^2 + 2 c.r) - 2 q.r: the first term is one number for each query and list,
 the second one for each vector, and the last comes from one table for each query, whatever the list.
 
+Codes tell vectors of many components, of tight groups or of very different lengths badly apart, so an exact
+check follows: the distance of the K-th vector found bounds what can still be missing.  Vectors are packed in
+blocks by list; a query leaves out the blocks that lie beyond that bound, and in the others products of matrices
+tell which vectors may lie within it; those are ranked by their exact distance too.  So the K nearest are found
+whatever the vectors; the codes only decide how much is compared.
+
 How many lists a query probes is calibrated on the sample: as few as hold COVER of the true neighbours of
 sample queries.  Vectors without structure need most lists, clustered ones few.
 
@@ -44,6 +50,8 @@ LEAST_BLOCK, MOST_BLOCK, CHUNK, FAN_IN = 4096, 1 << 17, 2048, 64
 SUBVECTORS, CODES = 16, 256
 #: Scaled components are cut off here; only the index sees that.
 BOUND = 1e4
+#: Of the exact check: bytes and rows of a block of vectors, queries of a block, pairs of which rows are held at once.
+CHECK_BYTES, CHECK_ROWS, CHECK_QUERIES, CHECK_PAIRS = 1 << 21, 1024, 256, 1 << 21
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -160,6 +168,73 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(((a / scale - b / scale) ** 2).sum(1)) * scale[:, 0]
 
 
+def within(q: np.ndarray, most: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and exact distance of the rows of x that lie within `most` of a query.
+
+    Of each query rows are kept, by distance and id, until k + 1 different ids are among them: k, whoever asks.
+    """
+    none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    scale = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
+    centre = (x / scale).mean(0)
+    left, right, limit = q / scale - centre, x / scale - centre, most / scale
+    own, far = (right**2).sum(1), (left**2).sum(1)
+    near = np.flatnonzero(np.sqrt(far) - np.sqrt(own.max()) <= limit * (1 + 1e-9) + 1e-9)  # the ball around the block
+    if not len(near):
+        return none
+    slack = 1e-12 * (far[near][:, None] + own) + 1e-300
+    query, row = np.nonzero(far[near][:, None] + own - 2 * left[near] @ right.T <= (limit[near] ** 2 * (1 + 1e-9))[:, None] + slack)
+    query, step = near[query], max(1, CHECK_PAIRS // x.shape[1])
+    dist = np.concatenate([distances(q[query[a : a + step]], x[row[a : a + step]]) for a in range(0, len(query), step)] or [np.zeros(0)])
+    kept = np.flatnonzero(dist <= most[query])
+    kept = kept[np.lexsort((ids[row[kept]], dist[kept], query[kept]))]
+    query, row, dist = query[kept], row[kept], dist[kept]
+    if not len(query):
+        return none
+    first = np.zeros(len(query), bool)  # the first row of a query's id
+    first[np.unique(np.column_stack((query, ids[row])), axis=0, return_index=True)[1]] = True
+    seen = np.cumsum(first)
+    seen -= (seen - first)[np.searchsorted(query, query)]  # within the query
+    few = seen <= k + 1
+    return query[few], row[few], dist[few]
+
+
+def checked(classes: DataFrame, queries: DataFrame, index: Index, width: int, k: int) -> DataFrame:
+    """query_id, key, score of the classes (key, rep, v) no further from a query (query_id, v, most) than `most`.
+
+    Every block of classes meets every block of the stated queries; neither holds more than a bounded number of rows.
+    """
+    size = int(np.clip(CHECK_BYTES // (8 * width), 1, CHECK_ROWS))
+
+    def packed(batches):
+        for x in batches:
+            if not len(x):
+                continue
+            v = _vectors(x.v)
+            order = np.argsort(_nearest(index.scaled(v), index.centres), kind="stable")
+            for a in range(0, len(order), size):
+                at = order[a : a + size]
+                yield pd.DataFrame({"keys": [x.key.to_numpy()[at]], "reps": [x.rep.to_numpy(np.int64)[at].tobytes()], "rows": [v[at].astype(float).tobytes()]})
+
+    def asking(batches):
+        for x in batches:
+            for a in range(0, len(x), CHECK_QUERIES):
+                own = x.iloc[a : a + CHECK_QUERIES]
+                yield pd.DataFrame({"ids": [own.query_id.to_numpy(np.int64).tobytes()], "most": [own.most.to_numpy(float).tobytes()], "asked": [_vectors(own.v).astype(float).tobytes()]})
+
+    def compared(batches):
+        for x in batches:
+            for keys, reps, rows, ids, most, asked in zip(x["keys"], x.reps, x.rows, x.ids, x.most, x.asked, strict=True):
+                ids, rows = np.frombuffer(ids, np.int64), np.frombuffer(rows).reshape(-1, width)
+                for a in range(0, len(ids), 64):
+                    query, row, score = within(np.frombuffer(asked).reshape(-1, width)[a : a + 64], np.frombuffer(most)[a : a + 64], rows, np.frombuffer(reps, np.int64), k)
+                    yield pd.DataFrame({"query_id": ids[a + query], "key": np.asarray(keys, object)[row], "score": score})
+
+    held = saved(classes.select("key", "rep", "v").mapInPandas(packed, "keys array<string>, reps binary, rows binary"), "packed")
+    asked = saved(queries.select("query_id", "v", "most").coalesce(1 + partitions(queries.sparkSession) // 8).mapInPandas(asking, "ids binary, most binary, asked binary"), "asking")
+    held = held.repartition(partitions(queries.sparkSession))  # by work: blocks are small, but each meets all queries
+    return held.crossJoin(asked).mapInPandas(compared, "query_id long, key string, score double")
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """id, v (array<double>) of the vectors that take part."""
     v = F.col(vector).cast("array<double>")
@@ -250,8 +325,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
             yield pd.DataFrame({"query_id": x.query_id, "key": x.key, "score": distances(_vectors(x.a), _vectors(x.b))})
 
     pairs = candidates.join(classes.select(F.xxhash64("key").alias("rep"), "key", F.col("v").alias("b")), "rep").join(queries.select("query_id", F.col("v").alias("a")), "query_id")
-    scores = pairs.select("query_id", "key", "a", "b").mapInPandas(exact, "query_id long, key string, score double")
-    near = scores.join(members, "key").filter("id <> query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min("score").alias("score"))
+    scores = saved(pairs.select("query_id", "key", "a", "b").mapInPandas(exact, "query_id long, key string, score double"), "scores")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def nearest(scores: DataFrame) -> DataFrame:
+        near = scores.join(members, "key").filter("id <> query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min("score").alias("score"))
+        return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    bounds = nearest(scores).filter(F.col("rank") == k).select("query_id", F.col("score").alias("most"))
+    bounds = queries.join(bounds, "query_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+    ranked = nearest(scores.unionByName(checked(classes, bounds, index, width, k)))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

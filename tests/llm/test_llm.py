@@ -418,6 +418,25 @@ def test_ann_recall_on_the_table(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["wide", "tight", "lengths", "whole"])
+def test_ann_on_other_vectors(spark, kind):
+    rng, n = np.random.default_rng(5), 4000
+    x = rng.normal(size=(n, 256 if kind == "wide" else 24))
+    if kind == "tight":  # groups of very different widths
+        group = rng.integers(0, 12, n)
+        x = 10 * rng.normal(size=(12, 24))[group] + x * (10.0 ** rng.uniform(-6, 0, 12))[group][:, None]
+    elif kind == "lengths":
+        x *= 10.0 ** rng.uniform(-3, 3, n)[:, None]
+    elif kind == "whole":  # many different vectors at equal distances
+        x = np.sign(x) + 2
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3))
+    own = {(r.query_id, r.rank): r.vec_id for r in got.collect()}
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [own[q, i + 1] for i in range(10)] == np.lexsort((np.arange(n), d))[:10].tolist()
+
+
 # --- language and quality ------------------------------------------------------------------------------------------
 
 

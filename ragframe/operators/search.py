@@ -18,30 +18,78 @@ from ragframe.functions.text import bm25_tokens
 
 
 class Bm25Index:
-    """An inverted index in DataFrames: postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and totals."""
+    """An inverted index in DataFrames: postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and totals.
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, totals: DataFrame):
-        self.postings, self.lengths, self.terms, self.totals = postings, lengths, terms, totals
+    keep writes a table and reads it back, for searches; apart says that a text's postings lie in several partitions.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, totals: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, apart: bool = False):
+        self.postings, self.lengths, self.terms, self.totals, self.keep, self.apart = postings, lengths, terms, totals, keep, apart
+
+
+#: Bytes of text that are cut into tokens at once.
+COUNTED_BYTES = 1 << 20
+#: fixed.BM25_TOKEN for UTF-8: its ASCII characters, and the second bytes of its other ones, which all begin with C3.
+_PLAIN, _MARKED = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz0123456789", "áéíóúüñ".encode()[1::2]))
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of tokens of each text in lower case, and all tokens one after the other: those of bm25_tokens."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = _PLAIN[data]
+    second = np.flatnonzero((data[:-1] == 0xC3) & _MARKED[data[1:]]) + 1
+    inside[second] = inside[second - 1] = True
+    before, cut = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+    before[1:], cut[offsets] = inside[:-1], True
+    starts = np.flatnonzero(inside & (~before | cut[:-1]))
+    before[:-1], before[-1:] = inside[1:], False
+    ends = np.flatnonzero(inside & (~before | cut[1:])) + 1
+    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    return np.diff(np.searchsorted(starts, offsets)), found
+
+
+def _slices(texts: pa.Array):
+    """Places and numbers of texts of COUNTED_BYTES together, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COUNTED_BYTES, "right")))
+        yield a, b - a
+        a = b
 
 
 def _count_terms(schema: pa.Schema):
-    """Rows (id, tokens) as rows (term, id, tf, dl): a row for each distinct token, and one without term for the text."""
+    """Rows (id, text in lower case) as rows (term, id, tf, dl): a row for each distinct token, and one without term for the text.
+
+    A batch is worked on in slices, so that what a worker holds depends neither on the table nor on the batch.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, tokens = batch.column("id"), batch.column("tokens")
-            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = tokens.flatten().dictionary_encode()
-            words = max(1, len(coded.dictionary))
-            key, tf = np.unique(np.repeat(np.arange(len(ids)), sizes) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            row = np.concatenate((key // words, np.arange(len(ids))))
-            term = pa.concat_arrays([coded.dictionary.take(pa.array(key % words)), pa.nulls(len(ids), coded.dictionary.type)])
-            columns = [term, ids.take(pa.array(row)), pa.array(np.concatenate((tf, np.zeros(len(ids), np.int64)))), pa.array(sizes[row].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for a, n in _slices(batch.column("text")):
+                ids, (sizes, tokens) = batch.column("id").slice(a, n), _tokens(batch.column("text").slice(a, n))
+                coded = tokens.dictionary_encode()
+                words = max(1, len(coded.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(n), sizes) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row = np.concatenate((key // words, np.arange(n)))
+                term = pa.concat_arrays([coded.dictionary.take(pa.array(key % words)), pa.nulls(n, coded.dictionary.type)])
+                columns = [term, ids.take(pa.array(row)), pa.array(np.concatenate((tf, np.zeros(n, np.int64)))), pa.array(sizes[row].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def counted_terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """term, id, tf, dl of docs: cut into tokens and counted in the same pass, where the texts lie."""
+    rows = docs.select(F.col(key).alias("id"), F.lower(text).alias("text"))
+    out = T.StructType([T.StructField("term", T.StringType()), rows.schema["id"], T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    return rows.mapInArrow(_count_terms(to_arrow_schema(out)), out)
+
+
 def weighted_terms(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """term, df, idf of counts (term, df) and one row of totals (n, ...); an idf below zero becomes a share of the mean."""
     raw = counts.join(F.broadcast(totals), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
@@ -56,16 +104,17 @@ def bm25_index(docs: DataFrame, key: str, text: Column, keep: Callable[[DataFram
     aggregates, of which a partition deals one row a term.  keep writes the counted rows and reads them back, so
     that texts are cut into tokens once.
     """
-    tokens = docs.select(F.col(key).alias("id"), bm25_tokens(text).alias("tokens"))
-    out = T.StructType([T.StructField("term", T.StringType()), tokens.schema["id"], T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
-    rows = tokens.mapInArrow(_count_terms(to_arrow_schema(out)), out)
+    rows = counted_terms(docs, key, text)
     rows = keep(rows) if keep else rows
     lengths = rows.filter("term is null").select("id", "dl")
     postings = rows.filter("term is not null")
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Bm25Index(postings, lengths, weighted_terms(counts, size), size)
+    return Bm25Index(postings, lengths, weighted_terms(counts, size), size, keep)
+
 
+#: Hits (rows of query, term and text) that one task adds up.
+TASK_HITS = 1 << 20
 
 #: Query terms (rows of query and term) that are sent to every executor: some 10 MB; more are joined by shuffling.
 MOST_BROADCAST_TERMS = 200_000
@@ -78,13 +127,18 @@ def bm25_search(index: Bm25Index, queries: DataFrame, query: str, text: Column,
     counted first: where they are few, postings meet them where they are and only hits are shuffled.
     """
     asked = queries.select(F.col(query).alias("query"), F.explode(bm25_tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term")
+    weighted = asked.join(index.terms, "term")
+    weighted = index.keep(weighted) if index.keep else weighted
     if asked.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
-        weighted = F.broadcast(index.terms.select("term", "idf").join(F.broadcast(asked), "term"))
+        weighted = F.broadcast(weighted if index.keep else index.terms.join(F.broadcast(asked), "term"))
     hits = index.postings.join(weighted, "term").join(F.broadcast(index.totals), how="cross")  # one row
     k1, b = F.lit(fixed.BM25_K1), F.lit(fixed.BM25_B)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    hits = hits.select("query", "id", part.alias("part"))
+    # where a text's hits lie apart no task adds them up before they are dealt; document frequencies tell how many there are
+    if index.apart and (many := weighted.agg(F.sum("df")).first()[0] or 0) > TASK_HITS:
+        hits = hits.repartition(-(-many // TASK_HITS), "id")
+    scores = hits.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
     return ranked(scores, "query", k)
 
 

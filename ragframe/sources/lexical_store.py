@@ -17,11 +17,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ragframe.functions.text import bm25_tokens
-from ragframe.operators.search import Bm25Index, _count_terms, bm25_search, weighted_terms
+from ragframe.operators.search import Bm25Index, bm25_search, counted_terms, weighted_terms
 
 from .store import materialised
 
@@ -57,13 +55,12 @@ def append(docs: DataFrame, key: str, text: Column, path: str, batch: str) -> No
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
         raise ValueError(f"not a batch id: {batch!r}")
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), bm25_tokens(F.coalesce(text, F.lit(""))).alias("tokens")).filter("id is not null")
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).filter("id is not null")
     if _exists(spark, f"{path}/totals"):
         rows = rows.join(_read(spark, path, "ids", kind).filter(F.col("batch") != batch).select("id"), "id", "left_anti")
         spark.createDataFrame([], "n long, length long").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")  # the batch is open until its totals are there
     rows = rows.dropDuplicates(["id"])
-    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", docs.schema[key].dataType), T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
-    counted = materialised(rows.mapInArrow(_count_terms(to_arrow_schema(out)), out), "counted")
+    counted = materialised(counted_terms(rows, "id", F.col("text")), "counted")
     postings = counted.filter("term is not null").withColumn("bucket", bucket(F.col("term")))
     dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
@@ -81,7 +78,7 @@ def load(spark: SparkSession, path: str, kind: str = "bigint", buckets: list[int
         postings = postings.filter(F.col("bucket").isin(buckets))
     counts = _read(spark, path, "terms", kind).groupBy("term").agg(F.sum("df").alias("df"))
     totals = _read(spark, path, "totals", kind).agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
-    return Bm25Index(postings.select("term", "id", "tf", "dl"), ids.select("id", "dl"), weighted_terms(counts, totals), totals)
+    return Bm25Index(postings.select("term", "id", "tf", "dl"), ids.select("id", "dl"), weighted_terms(counts, totals), totals, materialised, apart=True)
 
 
 def search(path: str, queries: DataFrame, query: str, text: Column, k: int, kind: str = "bigint") -> DataFrame:

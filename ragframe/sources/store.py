@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +33,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch for Python while a table is written.
+ARROW_BYTES = 1 << 21
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches for Python are of ARROW_BYTES at most; the session's own setting comes back."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def materialised(df: DataFrame, name: str = "rows") -> DataFrame:
-    """df, written to the shared folder and read back."""
+    """df, written to the shared folder and read back; what runs in Python for it gets small batches."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -81,7 +81,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
         queries, chunks = config.keep(queries), config.keep(chunks)
     told = understood(queries)
     meta = chunks.select(F.col("chunk_id").alias("id"), "text", "title", "source_url", "position", "category", "tipo", "siglas", F.coalesce("is_summary", F.lit(False)).alias("is_summary"), "curso", "vector")
-    pool = candidates(queries, chunks, config)
+    keep = config.keep or (lambda rows: rows)
+    pool = keep(candidates(queries, chunks, config))
     about = told.select(F.col("query_id").alias("query"), *[c for c in told.columns if c not in ("query_id", "text", "vector")], F.col("text").alias("query_text"), F.col("vector").alias("q"))
     k = F.when(F.col("listing"), config.k_listing).otherwise(config.k_final)
 
@@ -90,7 +91,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     wanted = about.select(F.col("query").alias("id"), F.col("q").alias("vector"), F.explode(F.map_keys("route.categories")).alias("category"))
     more = knn(meta.select("id", "category", "vector"), "id", "vector", wanted, config.k_candidates + 2 * max(config.k_listing, config.k_final), by="category")
     more = ranked(more.drop("rank").join(pool.select("query", "id"), ["query", "id"], "left_anti"), "query").join(about.select("query", k.alias("k")), "query")
-    more = more.filter(F.col("rank") <= 2 * F.col("k")).select("query", "id", "score")
+    more = keep(more.filter(F.col("rank") <= 2 * F.col("k")).select("query", "id", "score"))
     rows = pool.unionByName(more).join(meta, "id").join(about, "query")
     routed = F.size("route.categories") > 0
     boost = F.coalesce(F.element_at("route.categories", F.col("category")), F.lit(1.0))  # C5
@@ -107,7 +108,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     # joined on a routed category, or on "" where nothing is routed and every category fits
     keys = F.when(routed, F.map_keys("route.categories")).otherwise(F.array(F.lit("")))
     held = meta.filter("is_summary").withColumn("__key", F.explode(F.array_distinct(F.array(F.coalesce("category", F.lit("")), F.lit("")))))
-    summaries = held.join(about.filter(listing).withColumn("__key", F.explode(keys)), "__key").filter(fits).drop("__key")
+    asking = about.filter(listing).withColumn("__key", F.explode(keys))
+    if config.reranker is None and config.mmr_weight == 1:  # only the best can be chosen: as many as remain beside those that are there
+        most = max(config.k_listing, config.k_final)
+        of = lambda rows, id_, v, years: rows.select(F.col(id_).alias("id"), F.col(v).alias("vector"), F.explode(F.transform(years, lambda y: F.concat("__key", F.lit("|"), y))).alias("__key"))
+        year = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))  # noqa: E731  years: any, own or none
+        best = knn(of(held, "id", "vector", F.array(F.lit("*"), year("curso"))), "id", "vector", of(asking, "query", "q", F.when(F.col("course").isNull(), F.array(F.lit("*"))).otherwise(F.array(year("course"), F.lit("-")))), config.k_candidates + 3 * most, by="__key", digits=9)
+        summaries = best.select("query", "id").join(meta, "id").join(about, "query")
+    else:
+        summaries = held.join(asking, "__key").filter(fits).drop("__key")
     summaries = summaries.join(rows.select("query", "id"), ["query", "id"], "left_anti")
     summaries = summaries.withColumn("score", inner("vector", "q"))
     rows = rows.unionByName(summaries.select(*rows.columns))

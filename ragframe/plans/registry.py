@@ -24,4 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21)  # an application's choice: queries run after they are made
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,8 +23,8 @@ from ragframe.operators.search import Bm25Index, bm25_search, counted_terms, wei
 
 from .store import materialised
 
-#: Buckets of terms, and how many parts a bucket is written in (a common term's postings are many).
-BUCKETS, PARTS = 64, 4
+#: Buckets of terms, postings that one task sorts and writes (a bucket of more is written in parts), and tasks of a small batch.
+BUCKETS, TASK_POSTINGS, LEAST_TASKS = 64, 1 << 20, 16
 _TABLES = {"postings": "term string, id {id}, tf long, dl int", "terms": "term string, df long", "ids": "id {id}, dl int", "totals": "n long, length long"}
 
 
@@ -59,10 +59,20 @@ def append(docs: DataFrame, key: str, text: Column, path: str, batch: str) -> No
     if _exists(spark, f"{path}/totals"):
         rows = rows.join(_read(spark, path, "ids", kind).filter(F.col("batch") != batch).select("id"), "id", "left_anti")
         spark.createDataFrame([], "n long, length long").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")  # the batch is open until its totals are there
-    rows = rows.dropDuplicates(["id"])
-    counted = materialised(counted_terms(rows, "id", F.col("text")), "counted")
-    postings = counted.filter("term is not null").withColumn("bucket", bucket(F.col("term")))
-    dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
+    # copies of a key are told apart by where they lie: texts are counted where they are, and only counts of keys are shuffled
+    marked = rows.select(F.struct("id", F.monotonically_increasing_id().alias("mark")).alias("id"), "text")
+    counted = materialised(counted_terms(marked, "id", F.col("text")).select("term", "id.id", "tf", "dl", "id.mark"), "counted")
+    again = materialised(counted.filter("term is null").groupBy("id").agg(F.min("mark").alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "first"), "again")
+    if not again.isEmpty():
+        counted = counted.join(again, "id", "left").filter("first is null or mark = first").select(*counted.columns)
+    postings = counted.filter("term is not null").select("term", "id", "tf", "dl", bucket(F.col("term")).alias("bucket"))
+    tasks = max(LEAST_TASKS, -(-counted.count() // TASK_POSTINGS))
+    if tasks <= BUCKETS:  # a task writes neighbouring buckets
+        task = F.floor(F.col("bucket") * tasks / BUCKETS)
+    else:  # or a part of one
+        parts = -(-tasks // BUCKETS)
+        tasks, task = BUCKETS * parts, F.col("bucket") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
+    dealt = postings.repartitionById(tasks, task.cast("int")).sortWithinPartitions("bucket", "term")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")

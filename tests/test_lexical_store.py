@@ -71,3 +71,20 @@ def test_empty_batches_and_bad_names(spark, tmp_path):
     assert {r.term for r in ls.load(spark, path).terms.collect()} == {"normativa", "de", "permanencia"}
     with pytest.raises(ValueError):
         ls.append(docs_of(spark, [0]), "doc_id", F.col("text"), path, "../b")
+
+
+def test_what_a_task_sorts_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Whatever spark.sql.shuffle.partitions says; and texts of one key that stand in several partitions count once."""
+    monkeypatch.setattr(ls, "TASK_POSTINGS", 200, raising=False)
+    path, limit = str(tmp_path / "i"), "spark.sql.shuffle.partitions"
+    words = F.concat_ws(" ", F.array([F.concat(F.lit(f"w{i}x"), (F.col("id") % 7).cast("string")) for i in range(40)]))
+    docs = spark.range(0, 1000, 1, 4).select(F.col("id").alias("doc_id"), words.alias("text"))
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1")
+    try:
+        ls.append(docs.union(docs.filter("doc_id % 3 = 0")), "doc_id", F.col("text"), path, "a")
+    finally:
+        spark.conf.set(limit, before)
+    assert ls.load(spark, path).totals.first().n == 1000
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 600

@@ -24,9 +24,14 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Characters that NFC neither changes nor joins with what stands before or after: Latin letters, most punctuation, currencies.
+COMPOSED = ((0x00, 0x2FF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF))
+
+
 def normalised(text: Column) -> Column:
-    """NFC; texts of ASCII letters only don't leave the JVM's value as it is."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfc(text))
+    """NFC; texts of COMPOSED characters only don't leave the JVM. Python evaluates all rows of a batch, so it gets null for them."""
+    composed = text.rlike("^[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in COMPOSED) + "]*$")
+    return F.when(composed, text).otherwise(nfc(F.when(~composed, text)))
 
 
 def collapse_spaces(text: Column) -> Column:

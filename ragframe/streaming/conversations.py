@@ -42,15 +42,19 @@ class LastNamed(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # one trigger's rows of one conversation: as many as the source admits in a trigger
-        new = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="stable", na_position="first", ignore_index=True)
-        old = pd.DataFrame(list(self.recent.get()) if self.recent.exists() else [], columns=[*self.values], dtype=object)
-        both = pd.concat([old, new[[*self.values]].astype(object)], ignore_index=True)
-        for v in self.values:
-            place = pd.Series(range(len(both)), dtype="float64").where(both[v].notna()).ffill().shift()
-            near = place >= pd.Series(range(len(both))) - self.lookback  # a place that is missing isn't near
-            named = [both[v].iat[int(p)] if ok else None for p, ok in zip(place, near, strict=True)]
+        frames = list(rows)
+        new = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        new = new.sort_values("turn", kind="stable", na_position="first", ignore_index=True)
+        # plain lists: there are few rows of a conversation, and every operation on a frame costs more than they do
+        old = [tuple(row) for row in self.recent.get()] if self.recent.exists() else []
+        both = old + [tuple(None if pd.isna(x) else x for x in row) for row in zip(*[new[v].tolist() for v in self.values], strict=True)]
+        for i, v in enumerate(self.values):
+            named, last = [], -1
+            for place, row in enumerate(both):
+                named.append(both[last][i] if 0 <= last and last >= place - self.lookback else None)
+                last = place if row[i] is not None else last
             new[f"last_{v}"] = pd.Series(named[len(old) :], dtype=object)
-        self.recent.put([tuple(None if pd.isna(x) else x for x in row) for row in both.tail(self.lookback).itertuples(index=False, name=None)])
+        self.recent.put(both[max(0, len(both) - self.lookback) :])
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)

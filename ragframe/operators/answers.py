@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -95,11 +95,11 @@ def without_repeats(text: str, threshold: float = fixed.DEDUP_THRESHOLD) -> str:
 def sentence_dedup(text: Column, threshold: float = fixed.DEDUP_THRESHOLD) -> Column:
     """The greedy fold over a text's sentences; it depends on their order, so it runs in Arrow batches."""
 
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: None if t is None else without_repeats(t, threshold))
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array((None if (t := v.as_py()) is None else without_repeats(t, threshold) for v in x), pa.string())
 
-    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, StringType())(text)
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, StringType())(text)
 
 
 def answer(queries: DataFrame, hits: DataFrame, generator=seams.extractive_answer, ui: bool = True) -> DataFrame:

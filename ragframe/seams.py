@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
@@ -37,16 +37,35 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
+#: Bytes of text that are strings of Python at once, beside those of Arrow.
+TEXT_BYTES = 1 << 18
+
+
+def pieces(columns: Sequence[pa.Array], most: int):
+    """Rows of columns of texts as tuples of strings, nulls as empty, in lists of at most `most` rows and some TEXT_BYTES."""
+    rows, size = [], 0
+    for row in zip(*columns, strict=True):
+        texts = tuple(x.as_py() or "" for x in row)
+        rows.append(texts)
+        size += sum(map(len, texts))
+        if len(rows) >= most or size >= TEXT_BYTES:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def embed(text: Column, model: Embed = hashed_embedding, passage: bool = True, batch: int = 32) -> Column:
     """Vectors of texts, in batches; passages and queries get their prefixes."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            texts = x.fillna("").tolist()
-            yield pd.Series([v.astype("float32") for a in range(0, len(texts), batch) for v in model(texts[a : a + batch])], dtype=object)
+    def run(x: pa.Array) -> pa.Array:
+        vectors = [np.asarray(model([t for (t,) in rows]), np.float32) for rows in pieces([x], batch)]
+        sizes = [v.shape[1] for v in vectors for _ in v]
+        flat = np.concatenate([v.ravel() for v in vectors]) if vectors else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, ArrayType(FloatType()))(F.concat(F.lit(fixed.PASSAGE_PREFIX if passage else fixed.QUERY_PREFIX), text))
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, ArrayType(FloatType()))(F.concat(F.lit(fixed.PASSAGE_PREFIX if passage else fixed.QUERY_PREFIX), text))
 
 
 def lexical_score(query: str, text: str) -> float:
@@ -126,14 +145,14 @@ def rerank(query: Column, text: Column, models: Sequence[Reranker], batch: int =
     pair that every model fails has a null score. Nulls count as empty.
     """
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for q, t in batches:
-            pairs = list(zip(q.fillna(""), t.fillna(""), strict=True))
-            rows = [row for a in range(0, len(pairs), batch) for row in _scored(pairs[a : a + batch], models)]
-            yield pd.DataFrame(rows, columns=["score", "model", "error"]).astype({"score": "float64", "model": object, "error": object})
+    kind = pa.struct([("score", pa.float64()), ("model", pa.string()), ("error", pa.string())])
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "score double, model string, error string")(query, text)
+    def run(q: pa.Array, t: pa.Array) -> pa.Array:
+        found = [row for pairs in pieces([q, t], batch) for row in _scored(pairs, models)]
+        return pa.array([dict(zip(("score", "model", "error"), row, strict=True)) for row in found], kind)
+
+    run.__annotations__ = {"q": pa.Array, "t": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "score double, model string, error string").asNondeterministic()(query, text)
 
 
 def extractive_answer(system: str, user: str) -> str:
@@ -145,16 +164,19 @@ def extractive_answer(system: str, user: str) -> str:
 
 
 def generate(system: Column, user: Column, model: Generate = extractive_answer) -> Column:
-    """The model's text for each pair of prompts; null where it fails."""
+    """The model's text for each pair of prompts; null where it fails.
+
+    The column isn't deterministic, so that a filter on it doesn't ask the model a second time.
+    """
 
-    def run(s: pd.Series, u: pd.Series) -> pd.Series:
+    def run(s: pa.Array, u: pa.Array) -> pa.Array:
         def one(a, b):
             try:
-                return model(a or "", b or "")
+                return model(a, b)
             except Exception:  # noqa: BLE001
                 return None
 
-        return pd.Series([one(a, b) for a, b in zip(s, u, strict=True)], dtype=object)
+        return pa.array((one(*pair) for rows in pieces([s, u], 1) for pair in rows), pa.string())
 
-    run.__annotations__ = {"s": pd.Series, "u": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, StringType())(system, user)
+    run.__annotations__ = {"s": pa.Array, "u": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, StringType()).asNondeterministic()(system, user)

@@ -116,3 +116,20 @@ def test_observed_write_scans_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 45
     empty = store.observed_write(rows.limit(0), F.lit(True), str(tmp_path / "none"), {"low": F.col("v") <= 50})
     assert (empty["rows"], empty["low"]) == (0, 0)
+
+
+def test_a_model_is_asked_once_for_each_text(spark, tmp_path):
+    """A filter on what a model says doesn't ask it again."""
+    folder = str(tmp_path)
+
+    def model(whole, text):
+        with open(f"{folder}/asked-{os.getpid()}", "a") as f:
+            f.write(f"{text}\n")
+        return None if text == "t3" else f"said {text}"
+
+    texts = spark.range(40).select(F.col("id").alias("chunk_id"), F.lit("u").alias("source_url"), F.concat(F.lit("t"), "id").alias("text"))
+    documents = spark.createDataFrame([("u", "whole", "")], "url string, text string, title string")
+    cache = spark.createDataFrame([], "key string, context string")
+    got = store.fresh_contexts(texts, documents, cache, model).collect()
+    assert sorted(r.context for r in got) == sorted(f"said t{i}" for i in range(40) if i != 3)
+    assert sorted(t for f in glob.glob(f"{folder}/asked-*") for t in open(f).read().split()) == sorted(f"t{i}" for i in range(40))

@@ -65,7 +65,8 @@ def _slices(texts: pa.Array):
 def _count_terms(schema: pa.Schema):
     """Rows (id, text in lower case) as rows (term, id, tf, dl): a row for each distinct token, and one without term for the text.
 
-    A batch is worked on in slices, so that what a worker holds depends neither on the table nor on the batch.
+    A batch is worked on in slices, so that what a worker holds depends neither on the table nor on the batch. A
+    slice's rows ascend by token, the ones without come last: a sort by token finds runs, and equal tokens stand together.
     """
 
     def run(batches):
@@ -73,10 +74,12 @@ def _count_terms(schema: pa.Schema):
             for a, n in _slices(batch.column("text")):
                 ids, (sizes, tokens) = batch.column("id").slice(a, n), _tokens(batch.column("text").slice(a, n))
                 coded = tokens.dictionary_encode()
-                words = max(1, len(coded.dictionary))
-                key, tf = np.unique(np.repeat(np.arange(n), sizes) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                row = np.concatenate((key // words, np.arange(n)))
-                term = pa.concat_arrays([coded.dictionary.take(pa.array(key % words)), pa.nulls(n, coded.dictionary.type)])
+                order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                key, tf = np.unique(place[coded.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(np.arange(n), sizes), return_counts=True)
+                row = np.concatenate((key % n, np.arange(n)))
+                term = pa.concat_arrays([coded.dictionary.take(pa.array(order[key // n])), pa.nulls(n, coded.dictionary.type)])
                 columns = [term, ids.take(pa.array(row)), pa.array(np.concatenate((tf, np.zeros(n, np.int64)))), pa.array(sizes[row].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -62,7 +62,7 @@ def append(docs: DataFrame, key: str, text: Column, path: str, batch: str) -> No
     # copies of a key are told apart by where they lie: texts are counted where they are, and only counts of keys are shuffled
     marked = rows.select(F.struct("id", F.monotonically_increasing_id().alias("mark")).alias("id"), "text")
     counted = materialised(counted_terms(marked, "id", F.col("text")).select("term", "id.id", "tf", "dl", "id.mark"), "counted")
-    again = materialised(counted.filter("term is null").groupBy("id").agg(F.min("mark").alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "first"), "again")
+    again = materialised(counted.filter("tf = 0").groupBy("id").agg(F.min("mark").alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "first"), "again")
     if not again.isEmpty():
         counted = counted.join(again, "id", "left").filter("first is null or mark = first").select(*counted.columns)
     postings = counted.filter("term is not null").select("term", "id", "tf", "dl", bucket(F.col("term")).alias("bucket"))
@@ -74,10 +74,11 @@ def append(docs: DataFrame, key: str, text: Column, path: str, batch: str) -> No
         tasks, task = BUCKETS * parts, F.col("bucket") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
     dealt = postings.repartitionById(tasks, task.cast("int")).sortWithinPartitions("bucket", "term")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    # what was written lies by term, so that a task deals one row for most of its terms
+    df = spark.read.schema(_TABLES["postings"].format(id=kind) + ", bucket int").parquet(f"{path}/postings/batch={batch}").groupBy("bucket", "term").agg(F.count("*").alias("df"))
     df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")
-    ids = counted.filter("term is null").select("id", "dl")
-    ids.write.mode("overwrite").parquet(f"{path}/ids/batch={batch}")
+    counted.filter("tf = 0").select("id", "dl").write.mode("overwrite").parquet(f"{path}/ids/batch={batch}")  # a row a text
+    ids = spark.read.schema(_TABLES["ids"].format(id=kind)).parquet(f"{path}/ids/batch={batch}")
     ids.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")
 
 

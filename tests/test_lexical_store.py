@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ragframe.operators.search import bm25_index, bm25_search
+from ragframe.operators.search import bm25_index, bm25_search, counted_terms
 from ragframe.sources import lexical_store as ls
 
 TEXTS = ["normativa de permanencia", "trabajo fin de grado normativa del grado", "clases de IC", "horario de clases", "", None, "de de de de", "guía docente 2025-2026", "secretaría"]
@@ -88,3 +88,11 @@ def test_what_a_task_sorts_does_not_grow_with_the_table(spark, tmp_path, monkeyp
     assert ls.load(spark, path).totals.first().n == 1000
     sizes = [r["count"] for r in spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name().alias("f")).count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) <= 600
+
+
+def test_rows_of_a_slice_ascend_by_term(spark):
+    """So a sort by term finds runs, and a term's rows stand together when they are counted."""
+    docs = spark.createDataFrame([(i, "zeta beta alfa b" if i % 2 else "gamma ñu beta alfa alfa") for i in range(20)], "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in counted_terms(docs, "doc_id", F.col("text")).collect()]
+    assert got == sorted(got, key=lambda r: (r[0] is None, (r[0] or "").encode(), r[1]))
+    assert len(got) == 20 * 4 + 20 and (("alfa", 0, 2, 5) in got) and ((None, 1, 0, 4) in got)

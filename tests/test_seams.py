@@ -133,3 +133,14 @@ def test_a_model_is_asked_once_for_each_text(spark, tmp_path):
     got = store.fresh_contexts(texts, documents, cache, model).collect()
     assert sorted(r.context for r in got) == sorted(f"said t{i}" for i in range(40) if i != 3)
     assert sorted(t for f in glob.glob(f"{folder}/asked-*") for t in open(f).read().split()) == sorted(f"t{i}" for i in range(40))
+
+
+def test_texts_become_strings_in_pieces():
+    """A worker holds some TEXT_BYTES of a batch's texts as Python's strings; nulls are empty, no row is lost."""
+    import pyarrow as pa
+
+    texts = ["x" * 50_000] * 20 + [None, ""] + ["y"] * 70
+    got = list(seams.pieces([pa.array(texts), pa.array(["q"] * len(texts))], 32))
+    assert [row for rows in got for row in rows] == [(t or "", "q") for t in texts]
+    assert max(len(rows) for rows in got) == 32
+    assert all(sum(len(t) + 1 for t, _ in rows[:-1]) < seams.TEXT_BYTES for rows in got)

@@ -1,12 +1,19 @@
 """The overlap join against brute force: rare and hot tokens, several ways of one query, edge cases."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ragframe.functions import fixed
+from ragframe.functions.text import salient_tokens
 from ragframe.operators import overlap
+from ragframe.plans import catalogue
 from ragframe.sources import store
 
+from .conftest import SF
+
 
 def brute(asked, held, share, least):
     out = set()
@@ -67,3 +74,61 @@ def test_the_plan_joins_tested_tokens_only(spark):
     b = spark.createDataFrame([("x", ["a", "b", "c"])], "doc_id string, tokens array<string>").withColumn("tokens", F.col("tokens"))
     plan = overlap.overlap_join(a, b, 0.3, 3, lambda d: store.materialised(d, "t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Cross") == 1 and "h_tokens" in plan
+
+
+ODD = [
+    None, "", "  \n", "El [12] de 10:30 a 9:15:45, 123:45:67 y [3", "Canción del niño, CAMIÓN ÑANDÚ İstanbul \u212aelvin ΟΔΟΣ", "cancio\u0301n n\u0303u e\u0301\u0323s", "ﬁnal ½ kg … ㎒ 𝐌𝐚𝐫 ①② １２:３４ ［5］", "a1 b2 77 8 x9y 0",
+    "uno\ndos\rtres\x1ccuatro\x00cinco", "12", ":30", "[1", "2]", "12:", "34 la horas", "x" * 3000, "中文 abc中def 가나 ghi",
+]
+
+
+def test_runs_are_the_salient_tokens(spark):
+    """Cut in Python, texts have the tokens that the JVM's expressions find, whatever each character becomes; neighbours don't meet."""
+    codes, kept, several = overlap.folding()
+    texts = ODD + [f"ab{c}cd 1{c}2:34 [5{c}] {c}" for c in map(chr, (*codes[1:], *range(0x250), 0x4E00, 0xAC00, 0x1F600))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", salient_tokens(F.col("text")).alias("t")).collect()
+    at, runs = overlap.token_runs(pa.array(texts), overlap.fold_table(codes, kept), several)
+    got = [set() for _ in texts]
+    for i, x in zip(at, runs.to_pylist(), strict=True):
+        if x not in fixed.STOPWORDS and (len(x) >= 3 or x.isdigit()):
+            got[i].add(x)
+    assert got == [set(r.t or ()) for r in sorted(rows)]
+
+
+@pytest.mark.parametrize("most,at_once", [(200_000, 1 << 20), (200_000, 1), (3, 1)])
+@pytest.mark.parametrize("share,least", [(0.3, 3), (0.85, 1)])
+def test_overlap_texts_is_exact(spark, monkeypatch, share, least, most, at_once):
+    monkeypatch.setattr(overlap, "MOST_BROADCAST_TERMS", most)
+    monkeypatch.setattr(overlap, "COUNTED_PAIRS", at_once)
+    rng = np.random.default_rng(5)
+    word = lambda x: f"{x}00"
+    asked, held = sets(rng, 40, 60, 14) + [(100, None), (101, [])], sets(rng, 120, 60, 30) + [(500, None), (501, [])]
+    asked, held = ([(i, None if t is None else [word(x) for x in t]) for i, t in rows] for rows in (asked, held))
+    a = spark.createDataFrame(asked, "query_id long, tokens array<string>")
+    b = spark.createDataFrame([(i, None if t is None else ", ".join(t + t[:3]).upper(), f"s{i % 3}") for i, t in held], "doc_id long, text string, source string")
+    got = [tuple(r) for r in overlap.overlap_texts(a, b, "text", share, least, lambda d: store.materialised(d, "t")).select("query_id", "doc_id", "source", "shared", "score").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(q, d, f"s{d % 3}", *rest) for q, d, *rest in brute(asked, held, share, least)}
+
+
+def test_texts_meet_queries_where_they_lie(spark, monkeypatch):
+    """Only the queries are written; texts are neither written, nor joined, nor shuffled."""
+    written, keep = [], store.materialised
+    monkeypatch.setattr(store, "materialised", lambda d, name: written.append(d.columns) or keep(d, name))
+    plans = [catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString() for name in ("answer_coverage", "recover_sources_best")]
+    assert written == [["query_id", "tokens"]] * 2
+    assert not any("Join" in p for p in plans) and [p.count("Exchange hash") for p in plans] == [0, 2]
+
+
+def test_odd_documents_have_the_rows_of_sql(spark, tmp_path):
+    """Null and empty texts, a source without a name that ties with another, marks and times."""
+    asked = [(1, "canción del niño a las 10:30 en el aula 7"), (2, None), (3, ""), (4, "uno dos"), (5, "Ñandú camión perro gato")]
+    held = [(1, "Canción, NIÑO; aula [3] 10:45 7", None), (2, "cancion nino 7 aula 10", "es"), (3, None, "es"), (4, "", None), (5, "nandu perro gato", None), (6, "gato camion perro", "fr"), (7, "camión ñandú perro gato", "de")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(held, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("answer_coverage", "recover_sources_best"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        expected = sql.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLE[name]})").fetchall()
+        assert len(expected) > 3 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))

@@ -16,7 +16,7 @@ from ragframe import seams
 from ragframe.functions import fixed, intent
 from ragframe.functions.text import is_meta, java, matches
 
-from .search import bm25_index, bm25_search, inner, knn, mmr, ranked, rrf
+from .search import bm25_index, bm25_search, inner, knn, mmr, ranked, rrf, shuffled
 
 
 @dataclass
@@ -70,7 +70,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFra
     lexical = bm25_search(index, queries, "query_id", F.col("text"), config.k_candidates)
     fused = rrf(dense.select("query", "id", "rank").unionByName(lexical.select("query", "id", "rank")), config.rrf_k).filter(F.col("rank") <= config.k_candidates)
     vectors = chunks.select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"))
-    scored = fused.select("query", "id").join(vectors, "id").join(queries.select(F.col("query_id").alias("query"), F.col("vector").alias("q")), "query")
+    scored = fused.select("query", "id").join(shuffled(vectors), "id").join(shuffled(queries.select(F.col("query_id").alias("query"), F.col("vector").alias("q"))), "query")
     return scored.select("query", "id", inner("v", "q").alias("score"))
 
 
@@ -90,9 +90,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
     # beyond the pool's own, which are k_candidates at most, no more than twice the final number is taken
     wanted = about.select(F.col("query").alias("id"), F.col("q").alias("vector"), F.explode(F.map_keys("route.categories")).alias("category"))
     more = knn(meta.select("id", "category", "vector"), "id", "vector", wanted, config.k_candidates + 2 * max(config.k_listing, config.k_final), by="category")
-    more = ranked(more.drop("rank").join(pool.select("query", "id"), ["query", "id"], "left_anti"), "query").join(about.select("query", k.alias("k")), "query")
+    more = ranked(more.drop("rank").join(shuffled(pool.select("query", "id")), ["query", "id"], "left_anti"), "query").join(shuffled(about.select("query", k.alias("k"))), "query")
     more = keep(more.filter(F.col("rank") <= 2 * F.col("k")).select("query", "id", "score"))
-    rows = pool.unionByName(more).join(meta, "id").join(about, "query")
+    rows = pool.unionByName(more).join(shuffled(meta), "id").join(shuffled(about), "query")
     routed = F.size("route.categories") > 0
     boost = F.coalesce(F.element_at("route.categories", F.col("category")), F.lit(1.0))  # C5
     rows = rows.withColumn("score", F.col("score") * boost).withColumn("score", F.col("score") * structured_boost(F.col("tipo"), F.col("siglas"), F.col("is_summary"), F.col("short_forms"), F.col("about_subjects")))
@@ -114,10 +114,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
         of = lambda rows, id_, v, years: rows.select(F.col(id_).alias("id"), F.col(v).alias("vector"), F.explode(F.transform(years, lambda y: F.concat("__key", F.lit("|"), y))).alias("__key"))
         year = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))  # noqa: E731  years: any, own or none
         best = knn(of(held, "id", "vector", F.array(F.lit("*"), year("curso"))), "id", "vector", of(asking, "query", "q", F.when(F.col("course").isNull(), F.array(F.lit("*"))).otherwise(F.array(year("course"), F.lit("-")))), config.k_candidates + 3 * most, by="__key", digits=9)
-        summaries = best.select("query", "id").join(meta, "id").join(about, "query")
+        summaries = best.select("query", "id").join(shuffled(meta), "id").join(shuffled(about), "query")
     else:
         summaries = held.join(asking, "__key").filter(fits).drop("__key")
-    summaries = summaries.join(rows.select("query", "id"), ["query", "id"], "left_anti")
+    summaries = summaries.join(shuffled(rows.select("query", "id")), ["query", "id"], "left_anti")
     summaries = summaries.withColumn("score", inner("vector", "q"))
     rows = rows.unionByName(summaries.select(*rows.columns))
     floor = config.threshold * (fixed.HYBRID_FACTOR if config.hybrid else 1.0)
@@ -131,8 +131,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config | None = None
         failed = F.max(F.col("ce.score").isNull()).over(one) | (F.min("ce.model").over(one) != F.max("ce.model").over(one))
         rows = scored.withColumn("score", F.when(failed, F.col("score")).otherwise(F.col("ce.score") - penalty)).drop("ce")
     chosen = mmr(rows.select("query", "id", "score", "vector"), config.k_listing, config.mmr_weight)
-    chosen = chosen.join(about.select("query", k.alias("k")), "query").filter(F.col("rank") <= F.col("k"))
-    return chosen.join(meta, "id").select(F.col("query").alias("query_id"), "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "source_url", "title", "position", "text", "category", "tipo")
+    chosen = chosen.join(shuffled(about.select("query", k.alias("k"))), "query").filter(F.col("rank") <= F.col("k"))
+    return chosen.join(shuffled(meta), "id").select(F.col("query").alias("query_id"), "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "source_url", "title", "position", "text", "category", "tipo")
 
 
 def in_scope(queries: DataFrame, hits: DataFrame, reranked: bool = True, arbiter=None, high: float = fixed.GATE_HIGH, low: float = fixed.GATE_LOW) -> DataFrame:

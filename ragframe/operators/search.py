@@ -151,6 +151,15 @@ def ranked(scores: DataFrame, query: str, k: int | None = None, id_: str = "id")
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows that grow with a table, as one side of a join: both sides are shuffled by its key, and none goes through the driver.
+
+    Spark guesses sizes from packed files, and knows neither how many rows explode makes nor what Python puts into
+    a row; by such guesses hundreds of MB were broadcast.
+    """
+    return rows.hint("merge")
+
+
 def inner(a: Column, b: Column) -> Column:
     """The inner product, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -239,15 +248,15 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, e
     if by:  # a value's blocks of vectors are shared out, each share meets all of its queries
         share = F.pmod(F.xxhash64("v_ids"), F.lit(SHARES)).cast("int")
         asked = asked.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        pairs = held.withColumn("__share", share).join(asked, ["__by", "__share"])
+        pairs = held.withColumn("__share", share).join(shuffled(asked), ["__by", "__share"])
     else:
         pairs = held.crossJoin(asked.drop("__by"))  # a stated query set, in blocks
     found = pairs.select("__by", "q_ids", "q_rows", "v_ids", "v_rows").mapInPandas(scored, "__by string, query long, id long, score double")
     order = [F.desc("score"), F.col("id")] if digits == 6 else best_first()
     best = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
     if not exclude_self:
-        members = rows.join(one.withColumnRenamed("id", "query"), ["v", "__by"]).select("query", "__by", F.col("id").alias("member"))
-        found = best(found, "query", "__by").drop("rank").join(members, ["query", "__by"]).select(F.col("member").alias("query"), "id", "score")
+        members = rows.join(shuffled(one.withColumnRenamed("id", "query")), ["v", "__by"]).select("query", "__by", F.col("id").alias("member"))
+        found = best(found, "query", "__by").drop("rank").join(shuffled(members), ["query", "__by"]).select(F.col("member").alias("query"), "id", "score")
     return best(found.select("query", "id", "score"), "query")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from ragframe.operators import retrieve
 from ragframe.plans.search_queries import TYPED_QUESTIONS, retrieval_typed, typed_sql
+from ragframe.sources import store
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +31,19 @@ def test_same_rows_as_sql_at_the_larger_size(spark, duck):
 @pytest.mark.parametrize("off", ["routes", "structured", "subjects", "types", "summaries"])
 def test_every_step_changes_rows(duck, off):
     assert sorted(duck.sql(typed_sql(off)).fetchall()) != sorted(duck.sql(typed_sql()).fetchall())
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    """Queries, chunks and candidates grow with the table, and so would the driver's memory if a join broadcast them."""
+    written = []
+
+    def keep(rows, name="rows", write=store.materialised):
+        written.append(rows)
+        return write(rows, name)
+
+    monkeypatch.setattr(store, "materialised", keep)
+    hits = retrieval_typed(spark, SF)
+    assert hits.count() and len(written) == 4
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in (*written, hits)]
+    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 15
+    assert not [plan for plan in plans if "BroadcastHashJoin" in plan]
